@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, sharding, urls
+from quarry.llm import mixing, quality, secrets, sharding, urls
 
-MODULES = (mixing, urls, sharding)
+MODULES = (mixing, secrets, urls, quality, sharding)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.llm import mixing, ngram_join, quality, secrets, sharding, urls
+from quarry.llm import mixing, ngram_join, packing, quality, secrets, sharding, tokenfiles, urls
 
-MODULES = (ngram_join, mixing, secrets, urls, quality, sharding)
+MODULES = (ngram_join, mixing, secrets, urls, quality, packing, sharding, tokenfiles)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}

@@ -87,16 +87,21 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = REDACTED, reach: int = REACH) -> DataFrame:
-    """docs with every reported span replaced by a mark, overlapping spans by one; texts without spans, null ones too, stay as they are."""
+def redact(docs: DataFrame, text_col: str = "text", mark: str = REDACTED, reach: int = REACH, count_col: str | None = None) -> DataFrame:
+    """docs with every reported span replaced by a mark, overlapping spans by one; texts without spans, null ones too, stay as they are.
+
+    count_col, if given, counts the code points of changed texts anew.
+    """
     out = scan(docs, text_col, reach).withColumn("_sec_all", F.array_sort(F.concat("_base", "_added")))
     t = f"`{text_col}`"
     cut = f"""aggregate(_sec_all, named_struct('at', 0, 'out', ''), (s, x) -> if(x.start < s.at,
         named_struct('at', greatest(s.at, x.end), 'out', s.out),
         named_struct('at', x.end, 'out', concat(s.out, substring({t}, s.at + 1, x.start - s.at), '{mark}'))),
         s -> concat(s.out, substring({t}, s.at + 1)))"""
-    done = F.expr(f"if(size(_sec_all) = 0, {t}, {cut})")
-    return out.select(*[done.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    out = out.withColumn("_sec_new", F.expr(f"if(size(_sec_all) = 0, {t}, {cut})"))
+    counted = F.when(F.size("_sec_all") > 0, F.length("_sec_new").cast("long"))
+    new = {text_col: F.col("_sec_new")} | ({count_col: F.coalesce(counted, F.col(f"`{count_col}`"))} if count_col else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:

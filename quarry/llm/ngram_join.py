@@ -3,13 +3,14 @@
 A text's set is its distinct n-word shingles as 64-bit hashes. Texts with equal sets form a
 class and are represented by one set. Two sets link when 100 * |both| >= percent * |either|.
 
-Candidates. All shingles stand in one order, rare ones first; rarity comes from a counter
-table of fixed size over every shingle of every text. A set of n shingles has to share
-T = ceil(percent * n / 100) of them with any partner, so one of its first n - T + 1 is
-shared: only these short inverted lists are built across the cluster. They travel as
-blocks, four bytes a shingle; two shingles that agree there add a candidate, not a link.
-The smallest class of a list is its centre and gathers the list's sets into its bucket:
-every pair that shares a short list meets in a bucket, and no pair is written out.
+Candidates. Inverted lists are built of all shingles of all classes; they travel as blocks,
+four bytes a shingle. Shingles in one class only are dropped, and every class gets back its
+shared ones with the lengths of their lists. A set of n shingles has to share
+T = ceil(percent * n / 100) of them with any partner: a class with fewer shared ones has no
+partner. The others keep their n - T + 1 shingles of the shortest lists: one of those is
+shared with any partner. Each of these lists is cut where sizes are too far apart to link;
+its smallest class is the centre, and gathers the list's sets into its bucket. Every pair
+that shares a short list meets in a bucket, and no pair is written out.
 
 Search. Sets that link to the bucket's centre are joined to it at once; as only what is
 connected is asked for, pairs among them need no answer. Every other set is a query for
@@ -29,7 +30,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
@@ -43,20 +43,14 @@ from quarry.llm.common import table, written
 
 WORDS = 5
 PERCENT = 80
-#: Counters of the rarity table; its size, and so what is sent to every task, is fixed.
-COUNTERS = 1 << 20
-#: Bits of the table that marks the classes whose sets are needed; it only saves shuffle.
-MARKS = 1 << 26
-#: Entries of short lists that one task gathers.
+#: Entries of inverted lists that one task gathers, on average (about 40 bytes each). The list of one shingle is not split.
 ENTRIES = 4_000_000
-#: A shingle counted this often has its list joined by Spark, which splits it, not gathered in one task.
-HOT = 1 << 24
 #: Sets that one task searches against each other.
 BLOCK = 4096
 #: Stands for a missing id where rows pass through pandas; the least of all numbers can be no id itself.
 NO_ID = -(1 << 63)
-#: Words whose hashes a task remembers.
-MEMORY = 400_000
+#: Bytes of text that are hashed at once.
+CHUNK = 1 << 21
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -68,36 +62,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _Words(dict):
-    """Hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        self[word] = found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return found
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+
+
+def _places(n: int, kept: list[np.ndarray] = [np.empty(0, np.uint64)]) -> np.ndarray:
+    """Odd factors of the places in a word, as many as asked for."""
+    if len(kept[0]) < n:
+        kept[0] = _mix(np.arange(1, max(n, 64) * 2, dtype=np.uint64) * _ODD[1]) | np.uint64(1)
+    return kept[0]
+
+
+def _chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Shingles of each text, not yet distinct. A word's hash is the sum of a number for each byte times one for its place."""
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = _SPACE[raw]
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    if not len(starts):
+        return [np.empty(0, np.uint64)] * len(texts)
+    ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
+    sizes = ends - starts
+    inside = np.flatnonzero(~space)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    h = np.add.reduceat(_BYTES[raw[inside]] * _places(int(sizes.max()))[place], first)
+    h = _mix(h ^ (sizes.astype(np.uint64) * _ODD[2]))
+    # words of each text
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    word_ends = np.searchsorted(starts, stops)
+    whole = np.full(max(0, len(h) - words + 1), words, np.uint64)
+    for i in range(words):
+        whole = (whole ^ h[i : len(h) - words + 1 + i]) * _ODD[i % 8]
+        whole ^= whole >> np.uint64(29)
+    whole = _mix(whole)
+    out, a = [], 0
+    for b in word_ends.tolist():
+        if b - a >= words:
+            out.append(whole[a : b - words + 1])
+        elif b > a:
+            one = np.full(1, b - a, np.uint64)
+            for i in range(b - a):
+                one = (one ^ h[a + i]) * _ODD[i % 8]
+                one ^= one >> np.uint64(29)
+            out.append(_mix(one))
+        else:
+            out.append(np.empty(0, np.uint64))
+        a = b
+    return out
 
 
-def shingles(text: str | None, words: int, known: _Words) -> np.ndarray:
-    """The distinct shingles of a whole text, ascending; fewer words than n are one shingle, none are none."""
-    if not text:
-        return np.empty(0, np.uint64)
-    found = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, found), np.uint64, n)
-    k = min(n, words)
-    total = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        total = (total ^ h[i : n - k + 1 + i]) * _ODD[i % 8]
-        total ^= total >> np.uint64(29)
-    return np.unique(_mix(total))
+def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each whole text, ascending; fewer words than n are one shingle, none are none."""
 
+    def done(some: list[bytes]) -> Iterator[np.ndarray]:
+        for x in _chunk(some, words):
+            x = np.sort(x)
+            yield x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) > 1 else x
 
-def _order(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Rare first; the order is the same for all texts."""
-    return sets[np.lexsort((sets, counts[(sets >> np.uint64(44)).astype(np.int64)]))]
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield from done(held)
+            held, size = [], 0
+    if held:
+        yield from done(held)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -108,152 +139,155 @@ def name_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u4")
-
-
-SLICES = 64
-
-
-def _summed(rows: DataFrame, size: int, keep) -> np.ndarray:
-    """A table of `size` counters from rows of (part, counts): keep(sum, slice) by slice on the cluster; SLICES rows come to the driver."""
+def signatures(rows: DataFrame, words: int) -> DataFrame:
+    """id, text -> id, name (of the class; null without shingles), n_shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, data in zip(batch["part"], batch["counts"]):
-                got = _unpacked(data)
-                sums[part] = keep(sums[part], got) if part in sums else got
-        for part, x in sums.items():
-            yield pd.DataFrame({"part": [part], "counts": [_packed(x)]})
-
-    out, step = np.zeros(size, np.uint32), size // SLICES
-    for r in rows.repartition(16, "part").mapInPandas(run, "part int, counts binary").collect():
-        out[r.part * step : (r.part + 1) * step] = _unpacked(r.counts)
-    return out
+            sets = list(shingles(batch["text"].tolist(), words))
+            yield pd.DataFrame({"id": batch["id"], "name": pd.array([name_of(s) if len(s) else None for s in sets], "Int64"), "n_shingles": [len(s) for s in sets]})
 
-
-def _slices(x: np.ndarray) -> pd.DataFrame:
-    step = len(x) // SLICES
-    return pd.DataFrame({"part": range(SLICES), "counts": [_packed(x[i * step : (i + 1) * step]) for i in range(SLICES)]})
+    found = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInPandas(run, "id long, name long, n_shingles long")
+    return found.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
-def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum(a.astype(np.uint64) + b, 0xFFFFFFFF)
+def _dealt(key: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by part, and (part, start, end) of each that has rows."""
+    part = (key % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[by], np.arange(parts + 1))
+    return by, [(k, int(ends[k]), int(ends[k + 1])) for k in np.flatnonzero(np.diff(ends)).tolist()]
 
 
-def signatures(rows: DataFrame, words: int) -> DataFrame:
-    """id, text -> id, name (of the class; null without shingles), n_shingles; and rows of counters: part, counts."""
+BLOCK_SCHEMA = "part int, tokens binary, owners binary, names binary, sizes binary, lengths binary, home int"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = _Words(), np.zeros(COUNTERS, np.uint32)
-        for batch in batches:
-            names, sizes = [], []
-            for text in batch["text"]:
-                s = shingles(text, words, known)
-                names.append(name_of(s) if len(s) else None)
-                sizes.append(len(s))
-                np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), np.uint32(1))
-            yield pd.DataFrame({"id": batch["id"], "name": pd.array(names, "Int64"), "n_shingles": pd.array(sizes, "Int64"), "part": None, "counts": None})
-        if counts.any():
-            yield _slices(counts).assign(id=None, name=None, n_shingles=None)
-
-    found = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInPandas(run, "id long, name long, n_shingles long, part int, counts binary")
-    return found.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
+def _block(part: int, tokens: np.ndarray, owners: np.ndarray, names: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, home: int) -> tuple:
+    """A block of list entries: owners, ascending, count through the block's own names, so their steps are mostly a repeated 0."""
+    own, local = np.unique(owners, return_inverse=True)
+    per = np.bincount(local)
+    return part, tokens.astype("<u4").tobytes(), per.astype("<u4").tobytes(), names[own].astype("<i8").tobytes(), sizes[own].astype("<u4").tobytes(), lengths.astype("<u2").tobytes(), home
 
-def short_lists(rows: DataFrame, counts: np.ndarray, words: int, percent: int, parts: int) -> DataFrame:
-    """id, text -> centre, name: the members of each centre's bucket, centres included, from lists of two or more."""
-    shared = rows.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers, whatever the input
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, seen = _Words(), set()
-        for batch in batches:
-            tokens, names, sizes = [], [], []
-            for text in batch["text"]:
-                s = shingles(text, words, known)
-                if not len(s) or (name := name_of(s)) in seen:
-                    continue
-                seen.add(name)
-                tokens.append(_order(s, shared.value)[: len(s) - least_overlap(len(s), percent) + 1])
-                names.append(name)
-                sizes.append(len(tokens[-1]))
-            if not tokens:
-                continue
-            token, name = np.concatenate(tokens), np.repeat(np.array(names, np.int64), sizes)
-            hot = shared.value[(token >> np.uint64(44)).astype(np.int64)] >= HOT
-            if hot.any():
-                yield pd.DataFrame({"part": None, "tokens": None, "owners": None, "names": None, "token": token[hot].view(np.int64), "name": name[hot]})
-            token, name = token[~hot], np.repeat(np.arange(len(names), dtype=np.uint32), sizes)[~hot]
-            part = (token % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            part, token, name = part[by], (token[by] >> np.uint64(16)).astype("<u4"), name[by]
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            out = []
-            for k in np.flatnonzero(np.diff(ends)).tolist():
-                own, local = np.unique(name[ends[k] : ends[k + 1]], return_inverse=True)
-                out.append((k, token[ends[k] : ends[k + 1]].tobytes(), local.astype("<u2" if len(own) < 65536 else "<u4").tobytes(), np.array(names, "<i8")[own].tobytes()))
-            yield pd.DataFrame(out, columns=["part", "tokens", "owners", "names"]).assign(token=None, name=None)
-
-    def gather(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.concatenate([np.frombuffer(x, "<u4") for x in blocks["tokens"]])
-        names = np.concatenate([np.frombuffer(n, "<i8")[np.frombuffer(o, "<u2" if len(n) < 65536 * 8 else "<u4")] for o, n in zip(blocks["owners"], blocks["names"])])
-        by = np.lexsort((names, tokens))
-        tokens, names = tokens[by], names[by]
-        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        ends = np.concatenate((starts[1:], [len(tokens)]))
-        centre = np.repeat(names[starts], ends - starts)
-        several = np.repeat(names[starts] != names[ends - 1], ends - starts)
-        return pd.DataFrame({"centre": centre[several], "name": names[several]}).drop_duplicates()
+def _unblock(blocks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """tokens, names, sizes, lengths of every entry."""
+    tokens = np.concatenate([np.frombuffer(x, "<u4") for x in blocks["tokens"]])
+    per = np.concatenate([np.frombuffer(x, "<u4") for x in blocks["owners"]])
+    names = np.repeat(np.concatenate([np.frombuffer(x, "<i8") for x in blocks["names"]]), per)
+    sizes = np.repeat(np.concatenate([np.frombuffer(x, "<u4") for x in blocks["sizes"]]), per)
+    return tokens, names, sizes, np.concatenate([np.frombuffer(x, "<u2") for x in blocks["lengths"]])
 
-    posted = written(rows.mapInPandas(post, "part int, tokens binary, owners binary, names binary, token long, name long"), "short-lists")
-    met = posted.where("part is not null").select("part", "tokens", "owners", "names").groupBy("part").applyInPandas(gather, "centre long, name long")
-    hot = posted.where("token is not null").select("token", "name")
-    first = hot.groupBy("token").agg(F.min("name").alias("centre"), F.max("name").alias("last")).where("centre != last").select("token", "centre")
-    return met.union(hot.join(first, "token").select("centre", "name")).distinct()
 
+def sharing_classes(rows: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """id, text -> name, n, data, short: each class that shares as many shingles as any link takes.
 
-def _place(name: np.ndarray, i: np.ndarray) -> np.ndarray:
-    return (_mix(name.view(np.uint64) ^ _mix(i.view(np.uint64))) % np.uint64(MARKS)).astype(np.int64)
-
-
-def needed_sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
-    """id, text -> name, data: the set of each chosen (name, id), once for each row of that id; others by chance of the marks only."""
+    data: its shared shingles, 40 bits each; short: those of them in its short lists.
+    """
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(MARKS // 32, np.uint32)
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
-            at = _place(batch["name"].to_numpy(np.int64), batch["id"].to_numpy(np.int64))
-            np.bitwise_or.at(bits, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-        if bits.any():
-            yield _slices(bits)
-
-    marks = _summed(chosen.select("name", "id").coalesce(16).mapInPandas(mark, "part int, counts binary"), MARKS // 32, np.bitwise_or)
-    shared = rows.sparkSession.sparkContext.broadcast(marks)  # MARKS bits, whatever the input
+            sets, names = [], []
+            for s in shingles(batch["text"].tolist(), words):
+                if len(s) and (name := name_of(s)) not in seen:
+                    seen.add(name)
+                    sets.append(s)
+                    names.append(name)
+            if sets:
+                sizes = np.array([len(s) for s in sets])
+                token, owner, names = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.array(names, np.int64)
+                by, dealt = _dealt(token, parts)
+                token, owner, none = (token >> np.uint64(32)).astype(np.uint32)[by], owner[by], np.empty(0)
+                yield pd.DataFrame([_block(k, token[a:b], owner[a:b], names, sizes, none, 0) for k, a, b in dealt], columns=BLOCK_COLUMNS)
+
+    def share(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+        tokens, names, sizes, _ = _unblock(blocks)
+        by = np.argsort(tokens, kind="stable")
+        tokens = tokens[by]
+        again = np.concatenate(([False], tokens[1:] == tokens[:-1]))
+        again[:-1] |= again[1:]
+        tokens, by = tokens[again], by[again]
+        names, sizes = names[by], sizes[by]
+        # copies of one class in several tasks are one entry
+        by = np.lexsort((names, tokens))
+        tokens, names, sizes = tokens[by], names[by], sizes[by]
+        new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (names[1:] != names[:-1]))) if len(tokens) else np.empty(0, bool)
+        tokens, names, sizes = tokens[new], names[new], sizes[new]
+        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+        length = np.diff(np.append(starts, len(tokens)))
+        each = np.repeat(length, length)
+        tokens, names, sizes, each = tokens[each > 1], names[each > 1], sizes[each > 1], np.minimum(each[each > 1], 65535)
+        by = np.argsort(names, kind="stable")
+        tokens, names, sizes, each = tokens[by], names[by], sizes[by], each[by]
+        owner = np.cumsum(np.concatenate(([False], names[1:] != names[:-1]))) if len(names) else np.empty(0, np.int64)
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(names) else np.empty(0, np.int64)
+        by, dealt = _dealt(_mix(names.view(np.uint64)), parts)
+        tokens, each, owner = tokens[by], each[by], owner[by]
+        return pd.DataFrame([_block(k, tokens[a:b], owner[a:b], names[first], sizes[first], each[a:b], int(key[0])) for k, a, b in dealt], columns=BLOCK_COLUMNS)
+
+    def choose(blocks: pd.DataFrame) -> pd.DataFrame:
+        tokens, names, sizes, lengths = _unblock(blocks)
+        home = np.repeat(blocks["home"].to_numpy(np.uint64), [len(x) // 4 for x in blocks["tokens"]])
+        whole = _mix((home << np.uint64(32)) | tokens) & np.uint64(0xFFFFFFFFFF)
+        by = np.lexsort((whole, lengths, names))
+        names, sizes, whole = names[by], sizes[by], whole[by]
+        starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        out = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(names)]):
+            n, shared = int(sizes[a]), b - a
+            if shared >= least_overlap(n, percent):
+                # the n - shared others come first in the order of lists, and nobody else is in theirs
+                out.append((int(names[a]), n, _five(np.sort(whole[a:b])), _five(whole[a : a + shared - least_overlap(n, percent) + 1])))
+        return pd.DataFrame(out, columns=["name", "n", "data", "short"])
+
+    entries = rows.select("text").mapInPandas(post, BLOCK_SCHEMA).groupBy("part").applyInPandas(share, BLOCK_SCHEMA)
+    return entries.groupBy("part").applyInPandas(choose, "name long, n long, data binary, short binary")
+
+
+BLOCK_COLUMNS = ["part", "tokens", "owners", "names", "sizes", "lengths", "home"]
+
+
+def _five(x: np.ndarray) -> bytes:
+    """Numbers of 40 bits as five bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _whole(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").reshape(-1)
+
+
+def short_lists(classes: DataFrame, percent: int, parts: int) -> DataFrame:
+    """name, n, short -> centre, name: the members of each centre's bucket, centres included."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, data = [], []
-            for i, text in zip(batch["id"].tolist(), batch["text"]):
-                s = shingles(text, words, known)
-                if len(s):
-                    name = name_of(s)
-                    at = int(_place(np.array([name], np.int64), np.array([i], np.int64))[0])
-                    if int(shared.value[at >> 5]) >> (at & 31) & 1:
-                        names.append(name)
-                        data.append(s.tobytes())
-            yield pd.DataFrame({"name": np.array(names, np.int64), "data": data})
+            if len(batch):
+                sets = [_whole(x) for x in batch["short"]]
+                token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                by, dealt = _dealt(token, parts)
+                token, owner, none = (token >> np.uint64(8)).astype(np.uint32)[by], owner[by], np.empty(0)
+                yield pd.DataFrame([_block(k, token[a:b], owner[a:b], batch["name"].to_numpy(), batch["n"].to_numpy(), none, 0) for k, a, b in dealt], columns=BLOCK_COLUMNS)
+
+    def gather(blocks: pd.DataFrame) -> pd.DataFrame:
+        tokens, names, sizes, _ = _unblock(blocks)
+        by = np.lexsort((sizes, tokens))
+        tokens, names, sizes = tokens[by], names[by], sizes[by].astype(np.int64)
+        # a list is cut where the next set is too large for the one before
+        start = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (sizes[1:] * percent > sizes[:-1] * 100)))
+        starts = np.flatnonzero(start)
+        length = np.diff(np.append(starts, len(tokens)))
+        centre = np.repeat(np.minimum.reduceat(names, starts), length)
+        some = np.repeat(length, length) > 1
+        found = pd.DataFrame({"centre": centre[some], "name": names[some]}).drop_duplicates()
+        return found
 
-    return rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInPandas(emit, "name long, data binary")
+    return classes.select("name", "n", "short").mapInPandas(post, BLOCK_SCHEMA).groupBy("part").applyInPandas(gather, "centre long, name long").distinct()
 
 
-def divide_skip(query: np.ndarray, need, index: dict[int, list[int]], sets: list[np.ndarray], probes: int, skip) -> Iterator[int]:
-    """Members that share at least need(size) shingles with the query.
+def divide_skip(query: np.ndarray, need, index: dict[int, list[int]], probes: int, skip) -> Iterator[int]:
+    """Members that share at least need(member) shingles with the query.
 
     The query's lists are split: all but the `probes` shortest are long. The short lists are
     merged by a heap; a member that occurs there often enough to reach its need with every
@@ -264,7 +298,7 @@ def divide_skip(query: np.ndarray, need, index: dict[int, list[int]], sets: list
     for member, times in groupby(heapq.merge(*short)):
         if skip(member):
             continue
-        wanted, count = need(len(sets[member])), sum(1 for _ in times)
+        wanted, count = need(member), sum(1 for _ in times)
         for left, one in zip(range(len(long), 0, -1), long):
             if count >= wanted or count + left < wanted:
                 break
@@ -291,12 +325,17 @@ def is_link(shared: int, a: int, b: int, percent: int) -> bool:
     return 100 * shared >= percent * (a + b - shared) and shared > 0
 
 
-def search(sets: list[np.ndarray], percent: int, tied: list[bool], left: list[bool] | None = None) -> list[tuple[int, int]]:
+def search(sets: list[np.ndarray], n: list[int], percent: int, tied: list[bool], left: list[bool] | None = None) -> list[tuple[int, int]]:
     """Links that connect what is connected among the sets (ascending arrays), but for pairs of tied sets.
 
-    Tied sets are known to be connected with each other. With left given, only pairs of a left
-    and another set are asked for; tied sets are not left.
+    n: whole sizes; what sets lack of them nobody shares. Tied sets are known to be connected
+    with each other. With left given, only pairs of a left and another set are asked for; tied
+    sets are not left.
     """
+    free = [i for i, t in enumerate(tied) if not t]
+    queries = [i for i in free if left is None or left[i]]
+    if not queries:
+        return []
     parent = list(range(len(sets)))
 
     def root(x: int) -> int:
@@ -308,53 +347,36 @@ def search(sets: list[np.ndarray], percent: int, tied: list[bool], left: list[bo
     together = [i for i, t in enumerate(tied) if t]
     for i in together:
         parent[i] = together[0]
-    free = [i for i, t in enumerate(tied) if not t]
-    queries = [i for i in free if left is None or left[i]]
     others = free if left is None else [i for i in free if not left[i]]
-    among, with_tied = _index(sets, others), _index(sets, together)
+    among, with_tied = _index(sets, others) if len(others) > (left is None) else {}, _index(sets, together)
     out: list[tuple[int, int]] = []
-
-    def join(a: int, b: int) -> None:
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-
     for q in queries:
-        n = len(sets[q])
-        if not n:
-            continue
-        need = lambda m, n=n: -(-percent * (n + m) // (100 + percent))
-        least, most = least_overlap(n, percent), n * 100 // percent
-        far = lambda m, least=least, most=most: not least <= len(sets[m]) <= most
+        least, most = least_overlap(n[q], percent), n[q] * 100 // percent
+        need = lambda m, q=q: -(-percent * (n[q] + n[m]) // (100 + percent))
         for index, later in ((with_tied, False), (among, left is None)):
-            if not index:
-                continue
             # lists that nobody stands in leave fewer that have to be merged
-            probes = n - least + 1 - sum(t not in index for t in sets[q].tolist())
+            probes = n[q] - least + 1 - (n[q] - sum(t in index for t in sets[q].tolist())) if index else 0
             if probes <= 0:
                 continue
-            for m in divide_skip(sets[q], need, index, sets, probes, lambda m, q=q, later=later, far=far: (later and m <= q) or far(m) or root(m) == root(q)):
-                join(q, m)
+            for m in divide_skip(sets[q], need, index, probes, lambda m, q=q, later=later, a=least, b=most: (later and m <= q) or not a <= n[m] <= b or root(m) == root(q)):
+                x, y = root(q), root(m)
+                parent[max(x, y)] = min(x, y)
+                out.append((q, m))
                 if index is with_tied:
                     break
     return out
 
 
-def overlaps(sets: list[np.ndarray], centre: np.ndarray) -> list[int]:
-    """Shingles that each set shares with the centre."""
-    if not sets:
-        return []
+def _near(sets: list[np.ndarray], n: list[int], middle: int, percent: int) -> list[bool]:
+    """Whether each set links to the one in the middle, or is it."""
+    centre, sizes = sets[middle], np.array([len(s) for s in sets])
     all_of = np.concatenate(sets)
     at = np.searchsorted(centre, all_of)
     at[at == len(centre)] = 0
     hits = np.concatenate(([0], np.cumsum(centre[at] == all_of)))
-    ends = np.cumsum([len(s) for s in sets])
-    return (hits[ends] - hits[ends - [len(s) for s in sets]]).tolist()
-
-
-def _near(sets: list[np.ndarray], centre: np.ndarray, percent: int) -> list[bool]:
-    return [is_link(k, len(s), len(centre), percent) for k, s in zip(overlaps(sets, centre), sets)]
+    ends = np.cumsum(sizes)
+    shared = (hits[ends] - hits[ends - sizes]).tolist()
+    return [is_link(k, own, n[middle], percent) for k, own in zip(shared, n)]
 
 
 EDGES = "a long, b long"
@@ -364,27 +386,24 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
 
 
-def links(rows: DataFrame, sig: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
+def links(rows: DataFrame, sig: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: links between classes, enough to connect every component."""
-    classes = sig.where("name is not null").groupBy("name").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id"), F.first("n_shingles").alias("n"))
-    entries = classes.agg(F.sum(F.expr(f"n - ceil({percent} * n / 100) + 1"))).first()[0] or 0
-    met = written(short_lists(rows, counts, words, percent, max(16, -(-int(entries) // ENTRIES))), "met")
-    chosen = met.select("name").distinct().join(classes, "name")
-    data = needed_sets(rows, chosen, words)
-    sizes = met.groupBy("centre").agg(F.count(F.lit(1)).alias("members"))
-    large = written(sizes.where(F.col("members") > BLOCK).select("centre"), "large-buckets")
+    total = sig.where("name is not null").groupBy("name").agg(F.first("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
+    classes = written(sharing_classes(rows, words, percent, max(16, -(-int(total) // ENTRIES))), "sharing-classes")
+    entries = classes.agg(F.sum(F.octet_length("short")) / 5).first()[0] or 0
+    met = written(short_lists(classes, percent, max(16, -(-int(entries) // ENTRIES))), "buckets")
+    data = classes.select("name", "n", "data")
+    large = written(met.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK).select("centre"), "large-buckets")
 
     def bucket(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        members = members.drop_duplicates("name")
-        names, sets = members["name"].tolist(), [np.frombuffer(x, "<u8") for x in members["data"]]
+        names, sets, n = members["name"].tolist(), [_whole(x) for x in members["data"]], members["n"].tolist()
         middle = names.index(key[0])
-        tied = _near(sets, sets[middle], percent)
-        found = [(middle, i) for i, t in enumerate(tied) if t and i != middle] + search(sets, percent, tied)
+        tied = _near(sets, n, middle, percent)
+        found = [(middle, i) for i, t in enumerate(tied) if t and i != middle] + search(sets, n, percent, tied)
         return _frame([(names[i], names[j]) for i, j in found])
 
     if large.isEmpty():
         return met.join(data, "name").groupBy("centre").applyInPandas(bucket, EDGES)
-    data = written(data.dropDuplicates(["name"]), "sets")
     small = met.join(large, "centre", "left_anti").join(data, "name").groupBy("centre").applyInPandas(bucket, EDGES)
     return small.union(_large_links(met.join(large, "centre", "left_semi"), data, percent))
 
@@ -394,10 +413,10 @@ def _large_links(met: DataFrame, data: DataFrame, percent: int) -> DataFrame:
 
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            near = [_near([np.frombuffer(x, "<u8")], np.frombuffer(c, "<u8"), percent)[0] for x, c in zip(batch["data"], batch["middle"])]
+            near = [_near([_whole(x), _whole(c)], [n, m], 1, percent)[0] for x, n, c, m in zip(batch["data"], batch["n"].tolist(), batch["middle"], batch["m"].tolist())]
             yield batch[["centre", "name"]].assign(tied=np.array(near, bool))
 
-    middle = data.select(F.col("name").alias("centre"), F.col("data").alias("middle"))
+    middle = data.select(F.col("name").alias("centre"), F.col("data").alias("middle"), F.col("n").alias("m"))
     tested = written(met.join(data, "name").join(middle, "centre").mapInPandas(test, "centre long, name long, tied boolean"), "tested")
     sizes = tested.groupBy("centre").agg(F.count_if(~F.col("tied")).alias("free"), F.count_if("tied").alias("near")).where("free > 0")
     blocks = sizes.select("centre", F.expr(f"cast(ceil(free / {BLOCK}) as int)").alias("nf"), F.expr(f"cast(ceil(near / {BLOCK}) as int)").alias("nt"))
@@ -410,9 +429,9 @@ def _large_links(met: DataFrame, data: DataFrame, percent: int) -> DataFrame:
 
     def task(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        names, sets, tied = members["name"].tolist(), [np.frombuffer(x, "<u8") for x in members["data"]], members["tied"].tolist()
+        names, sets, tied = members["name"].tolist(), [_whole(x) for x in members["data"]], members["tied"].tolist()
         left = None if i == j else [not t and k == i for t, k in zip(tied, members["k"])]
-        return _frame([(names[a], names[b]) for a, b in search(sets, percent, tied, left)])
+        return _frame([(names[a], names[b]) for a, b in search(sets, members["n"].tolist(), percent, tied, left)])
 
     found = tasks.join(data, "name").groupBy("centre", "i", "j").applyInPandas(task, EDGES)
     return tested.where("tied and centre != name").select(F.col("centre").alias("a"), F.col("name").alias("b")).union(found)
@@ -449,9 +468,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
         raise ValueError("words must be positive and percent above 50, at most 100")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sig = written(signatures(rows, words), "signatures")
-    counts = _summed(sig.where("part is not null").select("part", "counts"), COUNTERS, _add)
-    sig = sig.where("part is null").select("id", "name", "n_shingles")
-    labels = component_labels(links(rows, sig, counts, words, percent))
+    labels = component_labels(links(rows, sig, words, percent))
     classes = sig.where("name is not null").groupBy("name").agg(F.min("id").alias("least"))
     grouped = classes.join(labels.withColumnRenamed("node", "name"), "name", "left").select("name", "least", F.coalesce("label", "name").alias("label"))
     roots = grouped.groupBy("label").agg(F.min("least").alias("component_id"))

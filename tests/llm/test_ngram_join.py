@@ -63,10 +63,10 @@ def test_awkward_rows(spark):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 3, 4, 5, 6, 7, 9, 10, None]))
 
 
-@pytest.mark.parametrize("block, hot", [(4096, 1 << 24), (5, 1 << 24), (5, 4)])
-def test_families_against_brute_force(spark, monkeypatch, block, hot):
+@pytest.mark.parametrize("block, chunk", [(4096, 1 << 21), (5, 300)])
+def test_families_against_brute_force(spark, monkeypatch, block, chunk):
     monkeypatch.setattr(nj, "BLOCK", block)
-    monkeypatch.setattr(nj, "HOT", hot)
+    monkeypatch.setattr(nj, "CHUNK", chunk)
     rows = families()
     want = brute(rows)
     assert len({w[2] for w in want}) < len(rows) / 2
@@ -82,7 +82,7 @@ def test_search_finds_what_is_connected():
         base = pick.sample(range(10**6), 60)
         for _ in range(4):
             sets.append(np.unique(np.array(base[: pick.randint(45, 60)] + pick.sample(range(10**6), 3), np.uint64)))
-    found = nj.search(sets, 80, [False] * len(sets))
+    found = nj.search(sets, [len(s) for s in sets], 80, [False] * len(sets))
     for a, b in found:
         assert nj.is_link(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80)
     parent = list(range(len(sets)))
@@ -98,3 +98,17 @@ def test_search_finds_what_is_connected():
         for b in range(a):
             if nj.is_link(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80):
                 assert root(a) == root(b)
+
+
+def test_shingles_against_words():
+    texts = ["", None, " ", "a", "A b", "a b c d e f a b c d e", "x\x0by\x0cz \t\r\n w v u", "é É ü\u00a0x y z w v", "b" * 5000 + " c d e f g", "a a a a a a a a a"]
+    got = list(nj.shingles(texts, 5))
+    known = {}
+    for text, s in zip(texts, got):
+        w = (text or "").encode().translate(nj._LOWER).split()
+        want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(s) == len(want)
+        for one in want:
+            known[one] = list(nj.shingles([b" ".join(one).decode()], 5))[0][0]
+        assert {known[one] for one in want} == set(s)
+    assert len(set(known.values())) == len(known)

@@ -29,6 +29,8 @@ LENGTH = 1024
 END = 0
 #: Documents of a group, on average.
 GROUP = 4096
+#: Ids that a task holds before it passes them on.
+YIELD_IDS = 1_000_000
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -93,8 +95,9 @@ def pieces(docs: DataFrame, path: str, groups: int, length: int, end: int, id_co
         tok = encoder(path, True)
         width = 2 if max(tok.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         seen: dict[int, int] = {}
+        columns = ["doc_id", "has_id", "start", "length", "ids", "width", "doc_tokens", "group"]
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc, has, key, ids in zip(batch["doc_id"].tolist(), batch["has_id"].tolist(), batch["key"].tolist(), tok.ids(batch["text"].tolist())):
                 ids = np.append(ids, np.uint32(end)).astype(f"<u{width}")
                 seen[key] = n = seen.get(key, -1) + 1
@@ -102,7 +105,11 @@ def pieces(docs: DataFrame, path: str, groups: int, length: int, end: int, id_co
                 for start in range(0, len(ids), length):
                     part = ids[start : start + length]
                     rows.append((doc, has, start, len(part), part.tobytes(), width, len(ids), group))
-            yield pd.DataFrame(rows, columns=["doc_id", "has_id", "start", "length", "ids", "width", "doc_tokens", "group"])
+                held += len(ids)
+                if held > YIELD_IDS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     rows = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("doc_id"), F.col(f"`{id_col}`").isNotNull().alias("has_id"), F.col(f"`{text_col}`").alias("text"),

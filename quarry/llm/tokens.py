@@ -9,11 +9,16 @@ What that does not hold for is encoded as a whole text: see `Encoder`.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Words whose ids a task remembers, about 200 bytes each; beyond it starts afresh.
-MEMORY = 1_000_000
+MEMORY = 600_000
+#: Texts that are looked up at once.
+TEXTS = 1000
+#: Marks that end many words.
+STOPS = ",."
 
 
 class _Places(dict):
@@ -48,6 +53,7 @@ class Encoder:
         self.between = "\n" if spaced else " | "
         if len(self.mark) != 1:
             raise ValueError("the separator is not a single token")
+        self.stop_ids = [np.array(self._plain(x), np.uint32) for x in STOPS]
         self._clear()
 
     def _clear(self) -> None:
@@ -61,39 +67,74 @@ class Encoder:
     def _learn(self) -> None:
         """Ids of the new words; a count of -1 marks a word whose text has to be encoded whole."""
         words, self.places.new = self.places.new, []
-        found: list = [None] * len(words)
-        easy = []
+        first = len(self.places) - len(words)
+        # a word is itself, or another and a stop: a stop after a letter or digit is a token of its own
+        stems: dict[str, int] = {}
+        stem, stop, single = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), []
         for k, w in enumerate(words):
-            if self.spaced:
-                if not w or w[0].isspace() or w[-1].isspace():
-                    found[k] = None
-                elif "\n" not in w:
-                    easy.append(k)
-                else:
-                    found[k] = self._plain(" " + w)
-            elif w and "|" not in w and not w.isspace():
-                easy.append(k)
-            else:
-                found[k] = self._plain(w)
+            at = 0
+            if len(w) > 1 and w[-1] in STOPS and w[-2].isalnum():
+                at, w = STOPS.index(w[-1]) + 1, w[:-1]
+            if not self.spaced and w.isascii():
+                w = w.lower()
+            if self.spaced and (not w or w[0].isspace() or w[-1].isspace()):
+                continue
+            if not w or w.isspace() or self.between.strip(" ") in w or (self.spaced and "\n" in w):
+                single.append((k, words[k]))
+                continue
+            stem[k], stop[k] = stems.setdefault(w, len(stems)), at
+        flat, count = self._each(list(stems))
+        start = np.cumsum(count) - count
+        kind = stop
+        stop_ids = np.concatenate([np.empty(0, np.uint32), *self.stop_ids]).astype(np.uint32)
+        stop_count = np.array([0, *map(len, self.stop_ids)], np.int64)
+        stop_start = np.cumsum(stop_count) - stop_count
+        known = stem >= 0
+        n, m = np.where(known, count[stem] if len(count) else 0, 0), np.where(known, stop_count[kind], 0)
+        total = n + m
+        ends = np.cumsum(total)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for size, begin, from_, source in ((n, ends - total, start[stem] if len(start) else stem, flat), (m, ends - m, stop_start[kind], stop_ids)):
+            size = np.where(known, size, 0)
+            steps = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(begin, size) + steps] = source[np.repeat(from_, size) + steps]
+        place, sizes = len(self.flat) + ends - total, np.where(known, total, -1)
+        extra, used = [out], len(self.flat) + len(out)
+        for k, w in single:
+            ids = np.array(self._plain((" " if self.spaced else "") + w), np.uint32)
+            place[k], sizes[k] = used, len(ids)
+            extra.append(ids)
+            used += len(ids)
+        assert first == len(self.start), "words stand in the order of their numbers"
+        self.start, self.count = np.concatenate((self.start, place)), np.concatenate((self.count, sizes))
+        self.flat = np.concatenate((self.flat, *extra))
+
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and the count of each; many go through the library as one text."""
         space = " " if self.spaced else ""
-        for i in range(0, len(easy), 256):
-            some = easy[i : i + 256]
-            ids = np.array(self._plain(self.between.join([space + words[k] for k in some])), np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) == len(some) - 1:
-                for k, x in zip(some, np.split(ids, cuts)):
-                    found[k] = x[1:] if k != some[0] else x
-            else:
-                for k in some:
-                    found[k] = self._plain(space + words[k])
-        count = np.array([-1 if x is None else len(x) for x in found], np.int64)
-        sizes = np.maximum(count, 0)
-        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.count = np.concatenate((self.count, count))
-        self.flat = np.concatenate((self.flat, *[np.asarray(x, np.uint32) for x in found if x is not None]))
-
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each whole text; a null text is empty."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        flat, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for k in range(0, len(groups), 64):
+            some = groups[k : k + 64]
+            for own, e in zip(some, self.tokenizer.encode_batch_fast([self.between.join([space + w for w in g]) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, np.uint32)
+                marks = ids == self.mark[0]
+                cuts = np.flatnonzero(marks)
+                if len(cuts) == len(own) - 1:
+                    flat.append(ids[~marks])
+                    counts.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
+                else:
+                    each = [self._plain(space + w) for w in own]
+                    flat.append(np.array([i for x in each for i in x], np.uint32))
+                    counts.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def ids(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each whole text in turn; a null text is empty."""
+        for k in range(0, len(texts), TEXTS):
+            yield from self._ids(texts[k : k + TEXTS])
+
+    def _ids(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.places) > MEMORY:
             self._clear()
         look = self.places.__getitem__

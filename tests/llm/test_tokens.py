@@ -19,7 +19,7 @@ def test_words_give_the_ids_of_the_library(path, spaced):
     want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
     for _ in range(2):
         assert [x.tolist() for x in e.ids(texts)] == want
-    assert [e.ids([t])[0].tolist() for t in texts] == want
+    assert [next(e.ids([t])).tolist() for t in texts] == want
 
 
 def test_first_fit_decreasing_against_brute_force():

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, table
+from quarry.llm.common import shared_dir, table, written
 from quarry.llm.tokens import encoder
 
 MAGIC = b"QTF1"
@@ -37,7 +37,7 @@ HEADER = struct.Struct("<4sIIQQ")
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of a file, about; a document is never cut.
-FILE_IDS = 2_000_000
+FILE_IDS = 1_000_000
 #: Lengths of the four codes of a control byte, and their sum.
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _SUM = _CODES.sum(1).astype(np.int64)
@@ -148,8 +148,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     "ids": [bytes_[4 * (e - t) : 4 * e] for e, t in zip(ends.tolist(), tokens.tolist())],
                 })
 
-    # few rows of large files: small batches keep memory bounded
-    out = files.join(starts, ["part", "k"]).select("first", "content").mapInPandas(run, "id long, has boolean, start long, n_tokens long, ids binary")
+    # as a table of known size it is broadcast where that is small, and then no content is shuffled
+    out = files.join(written(starts, "file-starts"), ["part", "k"]).select("first", "content").mapInPandas(run, "id long, has boolean, start long, n_tokens long, ids binary")
     return out.select(F.when(F.col("has"), F.col("id")).alias("doc_id"), "start", "n_tokens", "ids")
 
 

@@ -9,9 +9,9 @@ table in descending chance until the sum reaches `success`, perturbed cells incl
 are independent: with L tables a neighbour is missed with a chance of (1 - success) ** L.
 
 Equal vectors are one class with the smallest of its ids, as many as a result can hold, so
-a vector with a third of all rows is searched once. Buckets meet their queries in chunks of
-a bounded number of vectors and of queries; each returns its best by exact inner product,
-and those are merged by query. A query that found too little goes through all chunks.
+a vector with a third of all rows is searched once. Chunks of buckets are dealt to tasks of a
+bounded number of vectors and of queries; each returns its best by exact inner product, and
+those are merged by query. A query that found too little goes through all chunks.
 Few vectors are one bucket, which is exact.
 """
 
@@ -39,8 +39,8 @@ PER_BUCKET = 1024
 MOST_K = 7
 #: Up to so many classes make one bucket.
 SMALL = 4096
-#: Vectors and queries that meet in one task.
-CHUNK, QUERIES_PER_TASK = 4096, 1024
+#: Vectors of a bucket that stay together, vectors of a task, and queries of a task.
+CHUNK, PER_TASK, QUERIES_PER_TASK = 4096, 16_384, 8192
 SEED = 7
 
 
@@ -67,8 +67,13 @@ def bucket_codes(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return np.stack([_codes(np.clip(np.floor((points @ a[t].T + b[t]) / WIDTH), -128, 127).astype(np.int64), t) for t in range(len(a))], axis=1)
 
 
+_GRID = np.linspace(-8, 8, 16_001)
+_NORMAL = np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) for x in _GRID])
+
+
 def _phi(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))
+    """The normal distribution function, to about seven digits."""
+    return np.interp(x, _GRID, _NORMAL)
 
 
 def probes(point: np.ndarray, a: np.ndarray, b: np.ndarray, rho: float, success: float) -> list[int]:
@@ -116,22 +121,29 @@ def classes_of(vectors: DataFrame, id_col: str, vec_col: str, keep: int, every:
 
 
 def _best(members: pd.DataFrame, top: int) -> pd.DataFrame:
-    """The nearest `top` of the vectors (kind 0) to each query (kind 1), by exact inner product."""
-    data, asks = members[members["kind"] == 0], members[members["kind"] == 1]
-    if not len(data) or not len(asks):
-        return pd.DataFrame({"q": np.empty(0, np.int64), "cls": np.empty(0, np.int64), "score": np.empty(0)})
-    x, names, y, who = _numbers(data["vec"]), data["cls"].to_numpy(), _numbers(asks["vec"]), asks["cls"].to_numpy()
-    out_q, out_c, out_s = [], [], []
-    n = min(top, len(x))
-    for k in range(len(y)):
-        rough = x @ y[k]
-        # with a little more than asked for, as the exact sums may order ties otherwise
-        some = np.argpartition(-rough, min(n + 4, len(x)) - 1)[: n + 4]
-        exact = (x[some] * y[k]).sum(axis=1)
-        by = np.lexsort((names[some], -exact))[:n]
-        out_q.append(np.full(len(by), who[k]))
-        out_c.append(names[some][by])
-        out_s.append(exact[by])
+    """The nearest `top` of the vectors (kind 0) in a query's buckets to each query (kind 1), by exact inner product."""
+    data, asks = members[members["kind"] == 0].sort_values("bucket", kind="stable"), members[members["kind"] == 1]
+    out_q, out_c, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+    if len(data) and len(asks):
+        x, names, at = _numbers(data["vec"]), data["cls"].to_numpy(), data["bucket"].to_numpy()
+        for who, vec, buckets in zip(asks["cls"].tolist(), asks["vec"], asks["buckets"]):
+            y = np.frombuffer(vec, "<f8")
+            own = np.sort(np.asarray(buckets, np.int64))
+            first, size = np.searchsorted(at, own, "left"), np.searchsorted(at, own, "right")
+            size = size - first
+            rows = np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
+            if not len(rows):
+                continue
+            # a class stands in several tables; the nearest few more than asked for hold its copies
+            rough = x[rows] @ y
+            most = min(len(rows), TABLES * (top + 4))
+            some = rows[np.argpartition(-rough, most - 1)[:most]]
+            cls, first = np.unique(names[some], return_index=True)
+            exact = (x[some[first]] * y).sum(axis=1)
+            by = np.lexsort((cls, -exact))[:top]
+            out_q.append(np.full(len(by), who))
+            out_c.append(cls[by])
+            out_s.append(exact[by])
     return pd.DataFrame({"q": np.concatenate(out_q), "cls": np.concatenate(out_c), "score": np.concatenate(out_s)})
 
 
@@ -175,25 +187,27 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "v
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = _numbers(batch["vec"])
-            for cls, data, v in zip(batch["cls"], batch["vec"], x):
+            for cls, v in zip(batch["cls"], x):
                 found = list(dict.fromkeys(probes(np.append(v / np.linalg.norm(v), 0.0), a, b, rho, success)))
-                yield pd.DataFrame({"bucket": np.array(found, np.int64), "cls": cls, "vec": [data] * len(found)})
+                yield pd.DataFrame({"bucket": np.array(found, np.int64), "cls": cls})
 
-    schema = "bucket long, cls long, vec binary"
-    index = classes.select("cls", "vec").mapInPandas(place, schema)
-    visits = classes.where("asked").select("cls", "vec").mapInPandas(visit, schema)
-    result = written(_met(index, visits, top + 1), "found")
+    queries = classes.where("asked").select("cls", "vec")
+    index = classes.select("cls", "vec").mapInPandas(place, "bucket long, cls long, vec binary")
+    visits = queries.mapInPandas(visit, "bucket long, cls long")
+    result = written(_met(index, n * len(a), visits, queries, top + 1), "found")
 
     ready = result.join(classes.select("cls", "ids"), "cls").groupBy("q").agg(F.sum(F.size("ids")).alias("n"))
     # what can be found at all: ids of all classes, the query's own left out
     total = classes.agg(F.sum(F.size("ids"))).first()[0]
-    short = classes.where("asked").select("cls", "vec").join(ready.withColumnRenamed("q", "cls"), "cls", "left").where(F.coalesce("n", F.lit(0)) < min(top + 1, total)).select("cls", "vec")
+    short = queries.join(ready.withColumnRenamed("q", "cls"), "cls", "left").where(F.coalesce("n", F.lit(0)) < min(top + 1, total)).select("cls", "vec")
     if k and not short.isEmpty():
         chunks = -(-n // CHUNK)
-        everywhere = short.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+        everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("bucket"), "cls")
         rest = classes.select(F.pmod(F.xxhash64("cls"), F.lit(chunks)).alias("bucket"), "cls", "vec")
-        result = result.union(_met(rest, everywhere.select("bucket", "cls", "vec"), top + 1))
+        result = result.union(_met(rest, n, everywhere, short, top + 1))
     result = result.groupBy("q", "cls").agg(F.max("score").alias("score"))
+    # classes with the score of the last one stay, as their ids decide
+    result = result.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= top + 1)
     by = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     each = result.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
     each = each.withColumn("r", F.row_number().over(by)).where(F.col("r") <= top + 1)
@@ -202,16 +216,21 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "v
     return out.select("query_id", F.posexplode("all").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def _met(index: DataFrame, visits: DataFrame, top: int) -> DataFrame:
-    """Buckets and their visits (bucket, cls, vec) -> q, cls, score: the best of each chunk for each of its queries."""
-    sizes = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    loads = visits.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-    plan = sizes.join(loads, "bucket").select("bucket", F.expr(f"cast(ceil(n / {CHUNK}) as int)").alias("chunks"), F.expr(f"cast(ceil(m / {QUERIES_PER_TASK}) as int)").alias("turns"))
-    number = lambda by: F.pmod(F.xxhash64("cls"), F.col(by)).cast("int")
-    each = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-    data = index.join(plan, "bucket").select("bucket", number("chunks").alias("chunk"), each("turns").alias("turn"), F.lit(0).alias("kind"), "cls", "vec")
-    asks = visits.join(plan, "bucket").select("bucket", each("chunks").alias("chunk"), number("turns").alias("turn"), F.lit(1).alias("kind"), "cls", "vec")
-    return data.union(asks).groupBy("bucket", "chunk", "turn").applyInPandas(lambda members: _best(members, top), FOUND)
+def _met(index: DataFrame, rows: int, visits: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """Vectors (bucket, cls, vec), visits (bucket, cls) and queries (cls, vec) -> q, cls, score: the best of each task for each query.
+
+    Chunks of buckets are dealt to tasks; a query comes once to a task, with the buckets that it visits there.
+    """
+    tasks = max(1, -(-rows // PER_TASK))
+    chunks = index.groupBy("bucket").agg(F.expr(f"cast(ceil(count(1) / {CHUNK}) as int)").alias("chunks"))
+    turns = max(1, -(-queries.count() // QUERIES_PER_TASK))
+    deal = F.pmod(F.xxhash64("bucket", "chunk"), F.lit(tasks)).cast("int").alias("task")
+    data = index.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    data = data.select(deal, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(0).alias("kind"), "cls", "vec", "bucket", F.lit(None).cast("array<long>").alias("buckets"))
+    met = visits.join(chunks, "bucket").select("cls", "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    met = met.select("cls", "bucket", deal).groupBy("task", "cls").agg(F.collect_set("bucket").alias("buckets"))
+    asks = met.join(queries, "cls").select("task", F.pmod(F.xxhash64("cls"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "cls", "vec", F.lit(0).cast("long").alias("bucket"), "buckets")
+    return data.union(asks).groupBy("task", "turn").applyInPandas(lambda members: _best(members, top), FOUND)
 
 
 def op3_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ def test_hashing_reaches_the_recall(spark, monkeypatch):
     monkeypatch.setattr(nn, "SMALL", 10)
     monkeypatch.setattr(nn, "PER_BUCKET", 64)
     monkeypatch.setattr(nn, "CHUNK", 50)
+    monkeypatch.setattr(nn, "PER_TASK", 300)
     monkeypatch.setattr(nn, "QUERIES_PER_TASK", 30)
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got, want = found(nn.op3_multiprobe(spark, SF)), exact(rows)

@@ -1,7 +1,8 @@
 """Token ids of whole texts through the tokenizers library, word by word.
 
-Neither vocabulary joins anything across a space between words, so a text's ids are the ids
-of its words in a row and each distinct word goes through the tokenizer once. Words are
+Neither vocabulary joins anything across a space or line feed between words, so a text's ids
+are the ids of its words in a row and each distinct word goes through the tokenizer once; a
+stop at its end is a token of its own. Words are
 encoded many at a time as one text with a separator between them that is a token of its own.
 What that does not hold for is encoded as a whole text: see `Encoder`.
 """
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words whose ids a task remembers, about 200 bytes each; beyond it starts afresh.
-MEMORY = 600_000
+MEMORY = 500_000
 #: Texts that are looked up at once.
 TEXTS = 1000
 #: Marks that end many words.
@@ -51,6 +52,7 @@ class Encoder:
         # a line feed is a token of its own before the space of a word; words that may disturb it go one by one
         self.mark = self._plain("\n" if spaced else "|")
         self.between = "\n" if spaced else " | "
+        self.clash = "\n" if spaced else "|"
         if len(self.mark) != 1:
             raise ValueError("the separator is not a single token")
         self.stop_ids = [np.array(self._plain(x), np.uint32) for x in STOPS]
@@ -71,37 +73,47 @@ class Encoder:
         # a word is itself, or another and a stop: a stop after a letter or digit is a token of its own
         stems: dict[str, int] = {}
         stem, stop, single = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), []
+        opens = np.zeros(len(words), bool)
         for k, w in enumerate(words):
-            at = 0
-            if len(w) > 1 and w[-1] in STOPS and w[-2].isalnum():
-                at, w = STOPS.index(w[-1]) + 1, w[:-1]
+            if self.spaced:
+                if w[:1] == "\n":  # a word that opens a line has no space before it
+                    opens[k], space, w = True, "", w[1:]
+                else:
+                    space = " "
+            else:
+                space = ""
+            if not w.isalnum():
+                if w[-1:] and w[-1] in STOPS and w[:-1].isalnum():
+                    stop[k] = STOPS.index(w[-1]) + 1
+                    w = w[:-1]
+                elif not w or w[0].isspace() or w[-1].isspace() or self.clash in w:
+                    if not self.spaced or w and not w[0].isspace() and not w[-1].isspace():
+                        opens[k] = False
+                        single.append((k, words[k]))
+                    continue
             if not self.spaced and w.isascii():
                 w = w.lower()
-            if self.spaced and (not w or w[0].isspace() or w[-1].isspace()):
-                continue
-            if not w or w.isspace() or self.between.strip(" ") in w or (self.spaced and "\n" in w):
-                single.append((k, words[k]))
-                continue
-            stem[k], stop[k] = stems.setdefault(w, len(stems)), at
+            stem[k] = stems.setdefault(space + w, len(stems))
         flat, count = self._each(list(stems))
         start = np.cumsum(count) - count
-        kind = stop
         stop_ids = np.concatenate([np.empty(0, np.uint32), *self.stop_ids]).astype(np.uint32)
         stop_count = np.array([0, *map(len, self.stop_ids)], np.int64)
         stop_start = np.cumsum(stop_count) - stop_count
         known = stem >= 0
-        n, m = np.where(known, count[stem] if len(count) else 0, 0), np.where(known, stop_count[kind], 0)
-        total = n + m
+        n, m = np.where(known, count[stem] if len(count) else 0, 0), np.where(known, stop_count[stop], 0)
+        line = (known & opens).astype(np.int64)
+        total = line + n + m
         ends = np.cumsum(total)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-        for size, begin, from_, source in ((n, ends - total, start[stem] if len(start) else stem, flat), (m, ends - m, stop_start[kind], stop_ids)):
+        out[(ends - total)[line > 0]] = self.mark[0]
+        for size, begin, from_, source in ((n, ends - total + line, start[stem] if len(start) else stem, flat), (m, ends - m, stop_start[stop], stop_ids)):
             size = np.where(known, size, 0)
             steps = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             out[np.repeat(begin, size) + steps] = source[np.repeat(from_, size) + steps]
         place, sizes = len(self.flat) + ends - total, np.where(known, total, -1)
         extra, used = [out], len(self.flat) + len(out)
         for k, w in single:
-            ids = np.array(self._plain((" " if self.spaced else "") + w), np.uint32)
+            ids = np.array(self._plain(w if w[:1] == "\n" or not self.spaced else " " + w), np.uint32)
             place[k], sizes[k] = used, len(ids)
             extra.append(ids)
             used += len(ids)
@@ -111,12 +123,11 @@ class Encoder:
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in a row, and the count of each; many go through the library as one text."""
-        space = " " if self.spaced else ""
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         flat, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for k in range(0, len(groups), 64):
             some = groups[k : k + 64]
-            for own, e in zip(some, self.tokenizer.encode_batch_fast([self.between.join([space + w for w in g]) for g in some], add_special_tokens=False)):
+            for own, e in zip(some, self.tokenizer.encode_batch_fast([self.between.join(g) for g in some], add_special_tokens=False)):
                 ids = np.array(e.ids, np.uint32)
                 marks = ids == self.mark[0]
                 cuts = np.flatnonzero(marks)
@@ -124,7 +135,7 @@ class Encoder:
                     flat.append(ids[~marks])
                     counts.append(np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1)
                 else:
-                    each = [self._plain(space + w) for w in own]
+                    each = [self._plain(w) for w in own]
                     flat.append(np.array([i for x in each for i in x], np.uint32))
                     counts.append(np.array([len(x) for x in each], np.int64))
         return np.concatenate(flat), np.concatenate(counts)
@@ -138,31 +149,32 @@ class Encoder:
         if len(self.places) > MEMORY:
             self._clear()
         look = self.places.__getitem__
-        parts, firsts = [], []
+        parts = []
         for text in texts:
-            words, first = (text or "").split(" "), ""
             if not text:
                 words = []
-            elif self.spaced:  # no space stands before the first word
-                first, words = words[0], words[1:]
+            elif self.spaced:  # the start of a text is as the start of a line, but for the line feed
+                words = text.replace("\n", " \n").split(" ")
+                words[0] = "\n" + words[0]
+            else:
+                words = text.replace("\n", " ").split(" ")
             parts.append(np.fromiter(map(look, words), np.int64, len(words)))
-            firsts.append(first)
         if self.places.new:
             self._learn()
         at = np.concatenate(parts) if parts else np.empty(0, np.int64)
         start, count = self.start[at], self.count[at]
         ends = np.cumsum([len(x) for x in parts])
         out = []
-        for text, first, a, b in zip(texts, firsts, [0, *ends[:-1].tolist()], ends.tolist()):
+        for text, a, b in zip(texts, [0, *ends[:-1].tolist()], ends.tolist()):
+            n = count[a:b]
             if not text:
                 out.append(np.empty(0, np.uint32))
-            elif self.spaced and (b > a and (not first or first[-1].isspace()) or (count[a:b] < 0).any()):
+            elif (n < 0).any():
                 out.append(np.array(self._plain(text), np.uint32))
             else:
-                n = count[a:b]
                 to = np.cumsum(n)
-                got = self.flat[np.arange(to[-1] if len(n) else 0) - np.repeat(to - n - start[a:b], n)]
-                out.append(np.concatenate((np.array(self._plain(first), np.uint32), got)) if first else got)
+                got = self.flat[np.arange(to[-1]) - np.repeat(to - n - start[a:b], n)]
+                out.append(got[1:] if self.spaced else got)
         return out
 
 

@@ -86,7 +86,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, seed
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select("*", group_key(F.col(source_col)).alias("_mix_s"), size.alias("_size"), key.alias("_mix_h"))
+    rows = docs.select("*", group_key(F.col(source_col)).alias("_mix_s"), size.alias("_size"), key.alias("_mix_h"), F.xxhash64(text).alias("_mix_t"))
     rows = rows.withColumn("_mix_b", F.substring("_mix_h", 1, SLICE_DIGITS))
 
     per_slice = rows.groupBy("_mix_s", "_mix_b").agg(F.sum("_size").alias("_c"), F.min(source_col).alias("source"))
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, seed
     offsets = per_slice.select("_mix_s", "_mix_b", (F.sum("_c").over(up_to) - F.col("_c")).alias("_mix_before")).join(goal, "_mix_s")
 
     out = rows.join(offsets, ["_mix_s", "_mix_b"])
-    inside = Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", F.col(id_col), "_size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_mix_s", "_mix_b").orderBy("_mix_h", F.col(id_col), "_size", "_mix_t").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_mix_start", F.col("_mix_before") + F.sum("_size").over(inside) - F.col("_size"))
     rounds = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("_mix_rounds", F.least(rounds, F.lit(max_repeat).cast("long")))
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, seed
         return place
 
     places = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), position)).otherwise(F.array().cast("array<double>"))
-    return out.withColumn("_positions", places).drop("_mix_s", "_mix_h", "_mix_b", "_mix_before", "_mix_start", "_mix_rounds", "_k")
+    return out.withColumn("_positions", places).drop("_mix_s", "_mix_h", "_mix_b", "_mix_before", "_mix_start", "_mix_rounds", "_mix_t", "_k")
 
 
 def curriculum(docs: DataFrame, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, seed: str = "mix", **names: str) -> DataFrame:

@@ -130,6 +130,11 @@ def judge_overlap(rows: list[tuple[str, str, list[str], str]]) -> list[dict[str,
     return out
 
 
+def _apart(pages: DataFrame) -> DataFrame:
+    """The same rows with doc_id as a new expression: a union then doesn't take both sides as dealt alike, whose parts may differ in number once they are coalesced."""
+    return pages.withColumn("doc_id", F.concat("doc_id", F.lit("")))
+
+
 def process(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
     """Pages of documents -> their body chunks: classify, filter pages by kind, normalise, cut into sections and chunks, in one plan."""
     from quarry.functions import text as T
@@ -137,9 +142,9 @@ def process(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
     kinds = P.classify(pages, profile).select("doc_id", "document_type")
     typed = pages.join(kinds, "doc_id")
     keep = pages.columns
-    scans = typed.where("document_type = 'scanned'").select(*keep)
+    scans = _apart(typed.where("document_type = 'scanned'").select(*keep))
     others = typed.where("document_type != 'scanned'")
-    front = P.drop_front_matter(others.where("document_type != 'article'").select(*keep), profile).unionByName(others.where("document_type = 'article'").select(*keep))
+    front = P.drop_front_matter(others.where("document_type != 'article'").select(*keep), profile).unionByName(_apart(others.where("document_type = 'article'").select(*keep)))
     body = P.cut_references(P.cut_appendices(P.drop_contents(front, profile), profile), profile)
     if profile.name == "layout":
         clean = P.strip_repeated_lines(body.unionByName(scans), profile)

@@ -44,7 +44,7 @@ from quarry.llm.common import table, written
 WORDS = 5
 PERCENT = 80
 #: Entries of inverted lists that one task gathers, on average (about 40 bytes each). The list of one shingle is not split.
-ENTRIES = 4_000_000
+ENTRIES = 2_000_000
 #: Sets that one task searches against each other.
 BLOCK = 4096
 #: Stands for a missing id where rows pass through pandas; the least of all numbers can be no id itself.
@@ -484,7 +484,8 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     """
     found = written(ngram_join(docs, words, percent, id_col, text_col), "components")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    one = docs.join(kept.select(F.col("doc_id").alias("_keep")), F.col(f"`{id_col}`") == F.col("_keep"), "left_semi")
+    # what is kept grows with the input, so it is not broadcast at any size
+    one = docs.join(kept.select(F.col("doc_id").alias("_keep")).hint("merge"), F.col(f"`{id_col}`") == F.col("_keep"), "left_semi")
     if not kept.where("n > 1").isEmpty():
         one = one.dropDuplicates([id_col, text_col])
     return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

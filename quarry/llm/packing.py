@@ -110,6 +110,7 @@ def pieces(docs: DataFrame, path: str, groups: int, length: int, end: int, id_co
                     yield pd.DataFrame(rows, columns=columns)
                     rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns)
+        tok.forget()
 
     rows = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("doc_id"), F.col(f"`{id_col}`").isNotNull().alias("has_id"), F.col(f"`{text_col}`").alias("text"),

@@ -116,6 +116,7 @@ def write_files(docs: DataFrame, to: str, path: str | None = None, end: int = EN
                     yield pd.DataFrame({"part": [int(batch["part"].iloc[0])], "k": [k], "docs": [len(names)], "tokens": [held], "content": [pack_file(names, ids)]})
                     names, ids, held, k = [], [], 0, k + 1
             part = int(batch["part"].iloc[0]) if len(batch) else 0
+        tok.forget()
         if names:
             yield pd.DataFrame({"part": [part], "k": [k], "docs": [len(names)], "tokens": [held], "content": [pack_file(names, ids)]})
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words whose ids a task remembers, about 200 bytes each; beyond it starts afresh.
-MEMORY = 500_000
+MEMORY = 400_000
 #: Texts that are looked up at once.
 TEXTS = 1000
 #: Marks that end many words.
@@ -58,6 +58,10 @@ class Encoder:
         self.stop_ids = [np.array(self._plain(x), np.uint32) for x in STOPS]
         self._clear()
 
+    def forget(self) -> None:
+        """Give back the memory of a task's words; a task of usual size has more of them than are remembered anyway."""
+        self._clear()
+
     def _clear(self) -> None:
         self.places = _Places()
         self.flat = np.empty(0, np.uint32)

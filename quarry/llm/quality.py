@@ -32,7 +32,7 @@ SCALE = 10_000
 #: Share of rows on which the determinant is made least.
 SHARE = 0.75
 STEPS = 3
-#: Groups smaller than this are pooled by language, then all together; a smaller pool rejects nothing.
+#: Groups smaller than this are judged by all rows of their language, then by the whole table; a smaller table rejects nothing.
 LEAST_GROUP = 100
 #: Chance of a clean row beyond the cut, if rows were normal.
 TAIL = 1e-5
@@ -111,12 +111,21 @@ FLOORS = list(FEATURES.values())
 
 
 def _pools(rows: DataFrame) -> DataFrame:
-    """_lang, _source -> _g: the pair, or its language, or all, whichever is large enough."""
+    """_lang, _source -> _g, the pool that judges the pair, and _fit, the pools that its rows are fitted in.
+
+    A pair is judged by its own rows, or by all of its language, or by the whole table: the
+    first that is large enough. A pool holds all rows of its language or of the table, those
+    of large pairs too; one that judges no pair is not fitted.
+    """
     sizes = rows.groupBy("_lang", "_source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
-    small = F.when(F.col("n") < LEAST_GROUP, F.col("n")).otherwise(0)
-    sizes = sizes.withColumn("in_lang", F.sum(small).over(Window.partitionBy("_lang")))
-    own = F.concat_ws("|", F.lit("pair"), "_lang", "_source")
-    return sizes.select("_lang", "_source", F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("in_lang") >= LEAST_GROUP, F.concat_ws("|", F.lit("lang"), "_lang")).otherwise(F.lit("all")).alias("_g"))
+    by = Window.partitionBy("_lang")
+    sizes = sizes.withColumn("in_lang", F.sum("n").over(by)).withColumn("least", F.min("n").over(by))
+    lang_used = (F.col("in_lang") >= LEAST_GROUP) & (F.col("least") < LEAST_GROUP)
+    all_used = sizes.agg(F.coalesce(F.min("in_lang") < LEAST_GROUP, F.lit(False)).alias("all_used"))
+    own, lang, whole = F.concat_ws("|", F.lit("pair"), "_lang", "_source"), F.concat_ws("|", F.lit("lang"), "_lang"), F.lit("all")
+    judge_by = F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("in_lang") >= LEAST_GROUP, lang).otherwise(whole)
+    fits = F.array(F.when(F.col("n") >= LEAST_GROUP, own), F.when(lang_used, lang), F.when(F.col("all_used"), whole))
+    return sizes.crossJoin(F.broadcast(all_used)).select("_lang", "_source", judge_by.alias("_g"), F.array_compact(fits).alias("_fit"))
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -183,12 +192,12 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     rows = rows.select("*", *_features(), group_key(F.col(f"`{lang_col}`")).alias("_lang"), group_key(F.col(f"`{source_col}`")).alias("_source"))
     rows = written(rows, "quality-statistics")
     pools = written(_pools(rows), "quality-pools")
-    fit = rows.select("_lang", "_source", "base_failed", *[f"_x{k}" for k in range(D)]).where(~F.col("base_failed")).join(pools, ["_lang", "_source"]).select("_g", *[f"_x{k}" for k in range(D)])
+    fit = rows.select("_lang", "_source", "base_failed", *[f"_x{k}" for k in range(D)]).where(~F.col("base_failed")).join(pools, ["_lang", "_source"]).select(F.explode("_fit").alias("_g"), *[f"_x{k}" for k in range(D)])
     large = fit.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_GROUP).select("_g")
     model = written(_start(fit).join(large, "_g"), "quality-model")
     for _ in range(STEPS):
         model = written(_concentrate(fit.join(model.select("_g"), "_g", "left_semi"), model), "quality-model")
-    out = _distance(rows.join(pools, ["_lang", "_source"]), model)
+    out = _distance(rows.join(pools.drop("_fit"), ["_lang", "_source"]), model)
     far = F.coalesce(F.col("_d") > chi2_quantile(1 - TAIL, D), F.lit(False))
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "base_failed"]
     return out.select(*[f"`{c}`" for c in rest], *names, (~F.col("base_failed") & ~far).alias("kept"), F.col("_d").alias("_distance"))

@@ -54,6 +54,23 @@ def test_the_estimate_rejects_what_lies_far_off(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in rows)
 
 
+def test_small_groups_are_judged_by_their_language_and_then_by_the_whole_table(spark):
+    import random
+
+    pick = random.Random(9)
+    text = lambda: " ".join("".join(pick.choices("abcdefghij", k=pick.randint(2, 8))) for _ in range(80))
+    far = lambda: " ".join("###" + t for t in text().split())
+    rows = [(i, text(), "en", "large", 0) for i in range(200)]
+    # a small pair beside a large one of its language, a rare language, and rows without any
+    small = [("en", "small"), ("es", "x"), ("es", "y"), (None, None)]
+    rows += [(1000 + 10 * k + i, far() if i == 0 else text(), *g, 0) for k, g in enumerate(small) for i in range(5)]
+    out = {r.doc_id: r for r in quality.judge(plain(spark, rows)).collect()}
+    assert len(out) == len(rows) and all(r._distance is not None for r in out.values())
+    assert [d for d, r in sorted(out.items()) if not r.kept] == [1000, 1010, 1020, 1030]
+    # the whole table is too small for a model
+    assert all(r.kept and r._distance is None for r in quality.judge(plain(spark, rows[150:])).collect())
+
+
 def test_chi_square():
     assert abs(quality.chi2_cdf(quality.chi2_quantile(0.975, 4), 4) - 0.975) < 1e-9
     assert abs(quality.chi2_quantile(0.95, 2) - 5.99146) < 1e-4

@@ -10,8 +10,8 @@ are independent: with L tables a neighbour is missed with a chance of (1 - succe
 
 Equal vectors are one class with the smallest of its ids, as many as a result can hold, so
 a vector with a third of all rows is searched once. Chunks of buckets are dealt to tasks of a
-bounded number of vectors and of queries; each returns its best by exact inner product, and
-those are merged by query. A query that found too little goes through all chunks.
+bounded number of vectors and of queries; each returns its best by exact inner product and then
+by smallest id, and those are merged by query. A query that found too little goes through all chunks.
 Few vectors are one bucket, which is exact.
 """
 
@@ -121,11 +121,17 @@ def classes_of(vectors: DataFrame, id_col: str, vec_col: str, keep: int, every:
 
 
 def _best(members: pd.DataFrame, top: int) -> pd.DataFrame:
-    """The nearest `top` of the vectors (kind 0) in a query's buckets to each query (kind 1), by exact inner product."""
+    """The nearest `top` of the vectors (kind 0) in a query's buckets to each query (kind 1), by exact inner product.
+
+    Equal products go to the class with the smaller least id: its ids come before those that
+    are left out.
+    """
     data, asks = members[members["kind"] == 0].sort_values("bucket", kind="stable"), members[members["kind"] == 1]
     out_q, out_c, out_s = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
     if len(data) and len(asks):
-        x, names, at = _numbers(data["vec"]), data["cls"].to_numpy(), data["bucket"].to_numpy()
+        x, names, at, least = _numbers(data["vec"]), data["cls"].to_numpy(), data["bucket"].to_numpy(), data["least"].to_numpy()
+        # twice what two ways of adding up an inner product may differ by, for a query of norm 1
+        slack = 4 * x.shape[1] * np.finfo(float).eps * np.sqrt((x * x).sum(axis=1).max())
         for who, vec, buckets in zip(asks["cls"].tolist(), asks["vec"], asks["buckets"]):
             y = np.frombuffer(vec, "<f8")
             own = np.sort(np.asarray(buckets, np.int64))
@@ -134,13 +140,14 @@ def _best(members: pd.DataFrame, top: int) -> pd.DataFrame:
             rows = np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
             if not len(rows):
                 continue
-            # a class stands in several tables; the nearest few more than asked for hold its copies
+            # a class stands once in each table at most, so those at or above the cut are `top` classes at least; all that tie with it stay
             rough = x[rows] @ y
-            most = min(len(rows), TABLES * (top + 4))
-            some = rows[np.argpartition(-rough, most - 1)[:most]]
+            most = min(len(rows), TABLES * top)
+            cut = np.partition(rough, len(rows) - most)[len(rows) - most]
+            some = rows[~(rough < cut - slack * np.linalg.norm(y))]
             cls, first = np.unique(names[some], return_index=True)
             exact = (x[some[first]] * y).sum(axis=1)
-            by = np.lexsort((cls, -exact))[:top]
+            by = np.lexsort((least[some[first]], -exact))[:top]
             out_q.append(np.full(len(by), who))
             out_c.append(cls[by])
             out_s.append(exact[by])
@@ -182,7 +189,7 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "v
                 continue
             x = np.concatenate((x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]), axis=1)
             codes = bucket_codes(x, a, b)
-            yield pd.DataFrame({"bucket": codes.reshape(-1), "cls": np.repeat(batch["cls"].to_numpy(), codes.shape[1]), "vec": np.repeat(batch["vec"].to_numpy(), codes.shape[1])})
+            yield pd.DataFrame({"bucket": codes.reshape(-1), "cls": np.repeat(batch["cls"].to_numpy(), codes.shape[1]), "least": np.repeat(batch["least"].to_numpy(), codes.shape[1]), "vec": np.repeat(batch["vec"].to_numpy(), codes.shape[1])})
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,7 +199,8 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "v
                 yield pd.DataFrame({"bucket": np.array(found, np.int64), "cls": cls})
 
     queries = classes.where("asked").select("cls", "vec")
-    index = classes.select("cls", "vec").mapInPandas(place, "bucket long, cls long, vec binary")
+    least = F.col("ids")[0].alias("least")
+    index = classes.select("cls", least, "vec").mapInPandas(place, "bucket long, cls long, least long, vec binary")
     visits = queries.mapInPandas(visit, "bucket long, cls long")
     result = written(_met(index, n * len(a), visits, queries, top + 1), "found")
 
@@ -203,7 +211,7 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "v
     if k and not short.isEmpty():
         chunks = -(-n // CHUNK)
         everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("bucket"), "cls")
-        rest = classes.select(F.pmod(F.xxhash64("cls"), F.lit(chunks)).alias("bucket"), "cls", "vec")
+        rest = classes.select(F.pmod(F.xxhash64("cls"), F.lit(chunks)).alias("bucket"), "cls", least, "vec")
         result = result.union(_met(rest, n, everywhere, short, top + 1))
     result = result.groupBy("q", "cls").agg(F.max("score").alias("score"))
     # classes with the score of the last one stay, as their ids decide
@@ -217,7 +225,7 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "v
 
 
 def _met(index: DataFrame, rows: int, visits: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """Vectors (bucket, cls, vec), visits (bucket, cls) and queries (cls, vec) -> q, cls, score: the best of each task for each query.
+    """Vectors (bucket, cls, least, vec), visits (bucket, cls) and queries (cls, vec) -> q, cls, score: the best of each task for each query.
 
     Chunks of buckets are dealt to tasks; a query comes once to a task, with the buckets that it visits there.
     """
@@ -226,10 +234,10 @@ def _met(index: DataFrame, rows: int, visits: DataFrame, queries: DataFrame, top
     turns = max(1, -(-queries.count() // QUERIES_PER_TASK))
     deal = F.pmod(F.xxhash64("bucket", "chunk"), F.lit(tasks)).cast("int").alias("task")
     data = index.join(chunks, "bucket").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    data = data.select(deal, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(0).alias("kind"), "cls", "vec", "bucket", F.lit(None).cast("array<long>").alias("buckets"))
+    data = data.select(deal, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), F.lit(0).alias("kind"), "cls", "least", "vec", "bucket", F.lit(None).cast("array<long>").alias("buckets"))
     met = visits.join(chunks, "bucket").select("cls", "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     met = met.select("cls", "bucket", deal).groupBy("task", "cls").agg(F.collect_set("bucket").alias("buckets"))
-    asks = met.join(queries, "cls").select("task", F.pmod(F.xxhash64("cls"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "cls", "vec", F.lit(0).cast("long").alias("bucket"), "buckets")
+    asks = met.join(queries, "cls").select("task", F.pmod(F.xxhash64("cls"), F.lit(turns)).cast("int").alias("turn"), F.lit(1).alias("kind"), "cls", F.lit(0).cast("long").alias("least"), "vec", F.lit(0).cast("long").alias("bucket"), "buckets")
     return data.union(asks).groupBy("task", "turn").applyInPandas(lambda members: _best(members, top), FOUND)
 
 

@@ -58,3 +58,14 @@ def test_awkward_rows(spark, monkeypatch, small):
     two = spark.createDataFrame([(20, [1.0]), (40, [2.0])], "vec_id long, embedding array<double>")
     assert found(nn.nearest(two)) == {20: [(40, 2.0)], 40: [(20, 2.0)]}
     assert nn.nearest(two.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [4096, 2])
+def test_ties_of_distinct_vectors_go_to_the_smaller_id(spark, monkeypatch, small):
+    monkeypatch.setattr(nn, "SMALL", small)
+    monkeypatch.setattr(nn, "PER_BUCKET", 1024 if small > 2 else 40)
+    # all of the same product with query 0; ids against the order of the vectors, and equal vectors among them
+    rows = [(0, [0.0, 1.0, 0.0])] + [(1001 - i, [float(i), 1.0, 0.0]) for i in range(1, 301)] + [(5001 + i, [300.0 - i, 1.0, 0.0]) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nn.nearest(df, every=100_000, success=1.0))
+    assert got == exact(rows, every=100_000) and [v for v, _ in got[0]] == list(range(701, 721))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -523,15 +523,28 @@ def ranked_precision(spark, sf_dir):
 # --- layout ---
 
 
+#: Lines of a made-up page.
+PER_SHEET = 12
+
+
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the derived pages with made-up places: headings larger, notes small at the foot, every ninth document landscape."""
-    rows = I.derived(spark, sf_dir).where("row_id % 13 in (0, 2, 7, 10, 12)").select("doc_id", "page_num", "row_id", F.posexplode(F.slice(T.lines(F.col("text")), 1, 12)).alias("line_no", "line"))
+    """Every line of the derived pages with made-up places: headings larger, notes small at the foot, every ninth document landscape.
+
+    A text goes on over as many pages as its lines fill. Its first page has a line on the margin and one in a table.
+    """
+    texts = I.derived(spark, sf_dir).select("doc_id", "page_num", "row_id", T.lines(F.col("text")).alias("l"))
+    sheets = F.ceil(F.greatest(F.size("l"), F.lit(0)) / PER_SHEET)
+    before = F.sum(sheets).over(Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)) - sheets
+    # the sum stands before the lines are dealt out, as it would run over them otherwise
+    rows = texts.withColumn("before", before).select("doc_id", "before", "row_id", F.posexplode("l").alias("k", "line"))
+    rows = rows.select("doc_id", (F.col("before") + F.floor(F.col("k") / PER_SHEET) + 1).cast("int").alias("page_num"), "row_id", (F.col("k") < PER_SHEET).alias("opens"), (F.col("k") % PER_SHEET).alias("line_no"), "line")
     head, foot = F.col("line_no") == 1, F.col("line_no") >= 10
-    span = F.struct(F.substring("line", 1, 90).alias("text"), F.when(head, 14.0).when(foot, 8.0).otherwise(11.04).alias("size"), F.when(F.col("line_no") == 3, 255).otherwise(0).alias("color"))
+    span = F.struct(F.col("line").alias("text"), F.when(head, 14.0).when(foot, 8.0).otherwise(11.04).alias("size"), F.when(F.col("line_no") == 3, 255).otherwise(0).alias("color"))
+    grid = F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(295.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(310.0).alias("y1")))
     return rows.select(
         "doc_id", "page_num", (F.when(F.col("row_id") % 9 == 0, 900.0).otherwise(600.0)).alias("page_w"), F.lit(800.0).alias("page_h"), F.col("line_no").alias("block_no"), "line_no",
-        F.when(F.col("line_no") == 4, 590.0).otherwise(100.0).alias("x0"), (F.col("line_no") * 60.0).alias("y0"), F.lit(500.0).alias("x1"), (F.col("line_no") * 60.0 + 12).alias("y1"), (F.col("line_no") * 60.0).alias("ly"),
-        F.array(span).alias("spans"), F.array(F.struct(F.lit(0.0).alias("x0"), F.lit(295.0).alias("y0"), F.lit(600.0).alias("x1"), F.lit(310.0).alias("y1"))).alias("tables"),
+        F.when(F.col("opens") & (F.col("line_no") == 4), 590.0).otherwise(100.0).alias("x0"), (F.col("line_no") * 60.0).alias("y0"), F.lit(500.0).alias("x1"), (F.col("line_no") * 60.0 + 12).alias("y1"), (F.col("line_no") * 60.0).alias("ly"),
+        F.array(span).alias("spans"), F.when(F.col("opens"), grid).otherwise(F.slice(grid, 1, 0)).alias("tables"),
         F.array(F.struct(F.lit(590.0).alias("y0"), F.lit(1.0).alias("height"), F.lit(200.0).alias("width"))).alias("drawings"),
     )
 

@@ -82,7 +82,8 @@ def extract_doi(c: Column) -> Column:
 
 
 def doi_link(c: Column) -> Column:
-    return F.when(F.startswith(c, F.lit("http")), c).otherwise(F.concat(F.lit("https://doi.org/"), c))
+    """A DOI as a link; one that is a link already, or empty, as it is."""
+    return F.when(F.startswith(c, F.lit("http")) | (c == ""), c).otherwise(F.concat(F.lit("https://doi.org/"), c))
 
 
 def source_name(c: Column, spaced: bool = False) -> Column:

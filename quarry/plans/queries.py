@@ -240,14 +240,14 @@ DOI = "regexp_replace(regexp_extract(text, '\\b(10\\.\\d{4,}/[^\\s]+)', 1), '[.,
 
 @query(f"WITH {I.DERIVED_SQL} SELECT row_id, {DOI} AS doi FROM p WHERE row_id % 13 IN (7, 8)")
 def doi_extract(spark, sf_dir):
-    return I.derived(spark, sf_dir).where("row_id % 13 in (7, 8)").select("row_id", T.extract_doi(F.col("text")).alias("doi"))
+    return I.derived(spark, sf_dir).select("row_id", T.extract_doi(F.col("text")).alias("doi"))
 
 
 @query(f"WITH {I.DERIVED_SQL}, d AS (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'http://x/' ELSE '' END || {DOI} AS doi FROM p WHERE row_id % 13 = 8) SELECT row_id, CASE WHEN starts_with(doi, 'http') THEN doi ELSE 'https://doi.org/' || doi END AS link FROM d")
 def doi_link(spark, sf_dir):
-    rows = I.derived(spark, sf_dir).where("row_id % 13 = 8")
-    doi = F.concat(F.when(F.col("row_id") % 2 == 0, "http://x/").otherwise(""), T.extract_doi(F.col("text")))
-    return rows.select("row_id", T.doi_link(doi).alias("link"))
+    doi = T.extract_doi(F.col("text"))
+    doi = F.when(doi != "", F.concat(F.when(F.col("row_id") % 2 == 0, "http://x/").otherwise(""), doi)).otherwise(doi)
+    return I.derived(spark, sf_dir).select("row_id", T.doi_link(doi).alias("link"))
 
 
 @query("SELECT doc_id, replace(replace(source || '_part.pdf.json', '.json', ''), '.pdf', '') AS name, replace(replace(replace(source || '_part.pdf.json', '.json', ''), '.pdf', ''), '_', ' ') AS spaced FROM documents")

@@ -32,7 +32,9 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-SKIPPED_TAGS = frozenset("script style noscript template textarea title svg iframe object audio video canvas math noframes noembed xmp".split())
+SKIPPED_TAGS = frozenset("script style noscript template textarea title svg iframe object audio video canvas noframes noembed xmp".split())
+#: Those of them that hold no markup: without an end tag they reach to the end of the page.
+RAW_TAGS = frozenset("script style textarea title iframe noframes noembed xmp".split())
 #: Elements that end where another of the list begins.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 #: Elements at which an implied end stops looking.
@@ -83,6 +85,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], frozenset[int],
     stack: list[tuple[str, tuple[int, ...]]] = []
     text: list[str] = []
     state = {"links": 0, "open": 0}
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if text:
@@ -121,8 +124,15 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], frozenset[int],
                     break
             continue
         if name in SKIPPED_TAGS:
+            if name in unclosed or name == "svg" and attributes.endswith("/"):
+                continue
             close = re.compile(rf"(?i)</{name}\b[^>]*(?:>|\Z)").search(page, at)
-            at = close.end() if close else end
+            if close:
+                at = close.end()
+            elif name in RAW_TAGS:
+                at = end
+            else:
+                unclosed.add(name)
             continue
         if name == "br" or name == "wbr":
             text.append(" " if name == "br" else "")

@@ -51,6 +51,15 @@ def test_reading():
     assert [b[1] for b in H.blocks("<table><tr><td>a<td>b<tr><td>c</table>")][2] == ("table", "tr", "td")
 
 
+def test_skipped_elements_without_an_end():
+    one = lambda page: [b[0] for b in H.blocks(page)]
+    assert one("<svg width='1' /><p>a</p><svg><text>no</text></svg><p>b</p>") == ["a", "b"]
+    for tag in ("svg", "object data=x", "video", "audio", "canvas", "template", "noscript"):
+        assert one(f"<p>a</p><{tag}><p>b</p><{tag}><p>c</p>") == ["a", "b", "c"]
+    assert one("<p>a <math/>b <math><mi>x</mi><mo>=</mo><mn>1</mn></math> c</p>") == ["a b x=1 c"]
+    assert one("<p>a</p><script>b<p>c") == one("<p>a</p><style>b<p>c") == ["a"]
+
+
 def test_awkward_rows(spark):
     page = "<body><nav><a href=/>Home</a></nav><article><h1>Title words here</h1><p>" + "long text of words. " * 20_000 + "</p></article><footer>&copy; us</footer></body>"
     rows = [(1, "u", page), (1, "u", page), (None, None, None), (2, "v", ""), (3, "w", "<p"), (4, None, "<nav><a href=/>Home</a></nav>")]

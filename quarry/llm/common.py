@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of rows that go to a Python worker at once; a longer row goes alone.
+ARROW_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound what goes to a Python worker at once by bytes, as texts differ in length; a smaller bound of the caller's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value, unit = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(name).strip().lower()).groups()
+    if int(value) << 10 * " kmgtp".index(unit or " ") > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends here.
 
@@ -48,6 +61,14 @@ def group_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), column.cast("string")))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; extra columns, whatever their names, take no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])

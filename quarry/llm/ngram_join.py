@@ -12,12 +12,13 @@ shared with any partner. Each of these lists is cut where sizes are too far apar
 its smallest class is the centre, and gathers the list's sets into its bucket. Every pair
 that shares a short list meets in a bucket, and no pair is written out.
 
-Search. Sets that link to the bucket's centre are joined to it at once; as only what is
-connected is asked for, pairs among them need no answer. Every other set is a query for
-T-occurrences: its longest lists are set aside, the short ones are merged with a heap, and
-sets found there are probed by binary search in the long lists (DivideSkip). A bucket
-beyond `BLOCK` sets is dealt into blocks, and each pair of blocks, but pairs of sets linked
-to the centre, is searched by a task of its own. Nothing is capped.
+Search. Sets are queries for T-occurrences: a query's longest lists are set aside, the
+short ones are merged with a heap, and sets found there are probed by binary search in the
+long lists (DivideSkip). The bucket's centre is the first query; as only what is connected
+is asked for, sets that it finds need no query of their own, but every other set does. A bucket
+beyond `BLOCK` sets or `BLOCK_BYTES` bytes is dealt into blocks; the centre is a query of
+each, and each pair of blocks, but pairs of sets linked to the centre, is searched by a task
+of its own. Nothing is capped.
 
 Components. Links form components by min-label propagation with pointer jumping over
 tables in the shared folder.
@@ -30,27 +31,31 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, written
+from quarry.llm.common import bounded, free_name, table, written
 
 WORDS = 5
 PERCENT = 80
 #: Entries of inverted lists that one task gathers, on average (about 40 bytes each). The list of one shingle is not split.
 ENTRIES = 2_000_000
-#: Sets that one task searches against each other.
-BLOCK = 4096
+#: Shingles that a task holds before it passes them on as blocks.
+HELD = 2_000_000
+#: Sets that one task searches against each other, and bytes of their shingles.
+BLOCK, BLOCK_BYTES = 512, 2 << 20
 #: Stands for a missing id where rows pass through pandas; the least of all numbers can be no id itself.
 NO_ID = -(1 << 63)
-#: Bytes of text that are hashed at once.
-CHUNK = 1 << 21
+#: Bytes of text that are hashed at once, about 50 bytes each; words beyond LONG_WORD bytes have a hash of another kind.
+CHUNK, LONG_WORD = 1 << 19, 1 << 16
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -62,6 +67,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_GAPS = [bytes([c]) for c in (32, *range(9, 14))]
+_GAP = re.compile(b"[" + b"".join(_GAPS) + b"]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
@@ -74,13 +81,16 @@ def _places(n: int, kept: list[np.ndarray] = [np.empty(0, np.uint64)]) -> np.nda
     return kept[0]
 
 
-def _chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
-    """Shingles of each text, not yet distinct. A word's hash is the sum of a number for each byte times one for its place."""
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+def _long_hash(word: bytes) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(word, digest_size=8).digest(), "<u8")
+
+
+def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of bytes that end with a space: the sum of a number for each byte times one for its place."""
     space = _SPACE[raw]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     if not len(starts):
-        return [np.empty(0, np.uint64)] * len(texts)
+        return np.empty(0, np.uint64), starts
     ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
     sizes = ends - starts
     inside = np.flatnonzero(~space)
@@ -88,14 +98,46 @@ def _chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
     place = np.arange(len(inside)) - np.repeat(first, sizes)
     h = np.add.reduceat(_BYTES[raw[inside]] * _places(int(sizes.max()))[place], first)
     h = _mix(h ^ (sizes.astype(np.uint64) * _ODD[2]))
-    # words of each text
-    stops = np.cumsum([len(t) + 1 for t in texts])
-    word_ends = np.searchsorted(starts, stops)
-    whole = np.full(max(0, len(h) - words + 1), words, np.uint64)
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        h[k] = _long_hash(raw[starts[k] : ends[k]].tobytes())[0]
+    return h, starts
+
+
+def _combined(h: np.ndarray, words: int) -> np.ndarray:
+    """A hash of every `words` word hashes in a row."""
+    n = max(0, len(h) - words + 1)
+    whole = np.full(n, words, np.uint64)
     for i in range(words):
-        whole = (whole ^ h[i : len(h) - words + 1 + i]) * _ODD[i % 8]
+        whole = (whole ^ h[i : i + n]) * _ODD[i % 8]
         whole ^= whole >> np.uint64(29)
-    whole = _mix(whole)
+    return _mix(whole)
+
+
+def _long_words(text: bytes) -> np.ndarray:
+    """Word hashes of a text that is hashed piece by piece, cut at white space."""
+    out, at = [], 0
+    while at < len(text):
+        m = _GAP.search(text, at + CHUNK)
+        end = m.start() if m else len(text)
+        if end - at > CHUNK + LONG_WORD:  # the word at the end of the piece is a long one
+            begin = max(at, 1 + max(text.rfind(c, at, at + CHUNK) for c in _GAPS))
+            out.append(_word_hashes(np.frombuffer(text[at:begin] + b" ", np.uint8))[0])
+            out.append(_long_hash(text[begin:end]))
+        else:
+            out.append(_word_hashes(np.frombuffer(text[at:end] + b" ", np.uint8))[0])
+        at = end
+    return np.concatenate(out)
+
+
+def _chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """Shingles of each text, not yet distinct."""
+    if len(texts) == 1 and len(texts[0]) > 2 * CHUNK:
+        h = _long_words(texts[0])
+        word_ends = np.array([len(h)])
+    else:
+        h, starts = _word_hashes(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
+        word_ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    whole = _combined(h, words)
     out, a = [], 0
     for b in word_ends.tolist():
         if b - a >= words:
@@ -112,7 +154,7 @@ def _chunk(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
+def shingles(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
     """The distinct shingles of each whole text, ascending; fewer words than n are one shingle, none are none."""
 
     def done(some: list[bytes]) -> Iterator[np.ndarray]:
@@ -122,11 +164,12 @@ def shingles(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
 
     held, size = [], 0
     for text in texts:
-        held.append((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-        size += len(held[-1])
-        if size >= CHUNK:
+        text = (text or b"").translate(_LOWER)
+        if held and size + len(text) > CHUNK:
             yield from done(held)
             held, size = [], 0
+        held.append(text)
+        size += len(text)
     if held:
         yield from done(held)
 
@@ -139,15 +182,19 @@ def name_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _bytes(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
+    return batch.column(column).cast(pa.binary()).to_pylist()
+
+
 def signatures(rows: DataFrame, words: int) -> DataFrame:
     """id, text -> id, name (of the class; null without shingles), n_shingles."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(shingles(batch["text"].tolist(), words))
-            yield pd.DataFrame({"id": batch["id"], "name": pd.array([name_of(s) if len(s) else None for s in sets], "Int64"), "n_shingles": [len(s) for s in sets]})
+            found = [(name_of(s) if len(s) else None, len(s)) for s in shingles(_bytes(batch, 1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["id", "name", "n_shingles"])
 
-    found = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInPandas(run, "id long, name long, n_shingles long")
+    found = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text").mapInArrow(run, "id long, name long, n_shingles long")
     return found.withColumn("id", F.nullif("id", F.lit(NO_ID)))
 
 
@@ -160,45 +207,77 @@ def _dealt(key: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int
 
 
 BLOCK_SCHEMA = "part int, tokens binary, owners binary, names binary, sizes binary, lengths binary, home int"
+#: Bytes of a token in a block; the part that it is dealt to adds bits of its own.
+TOKEN = 5
+
+
+def _least(x: np.ndarray, kinds: tuple[str, ...]) -> bytes:
+    """Whole numbers in the narrowest of the kinds that holds them all; the first byte is its width."""
+    most = int(x.max()) if len(x) else 0
+    kind = next(k for k in kinds if most < 1 << 8 * np.dtype(k).itemsize)
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def _widened(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
+def _cut(x: np.ndarray, width: int) -> bytes:
+    """The lower `width` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _uncut(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").reshape(-1)
 
 
 def _block(part: int, tokens: np.ndarray, owners: np.ndarray, names: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, home: int) -> tuple:
-    """A block of list entries: owners, ascending, count through the block's own names, so their steps are mostly a repeated 0."""
+    """A block of list entries: owners, ascending, are a count of entries by each of the block's own names."""
     own, local = np.unique(owners, return_inverse=True)
     per = np.bincount(local)
-    return part, tokens.astype("<u4").tobytes(), per.astype("<u4").tobytes(), names[own].astype("<i8").tobytes(), sizes[own].astype("<u4").tobytes(), lengths.astype("<u2").tobytes(), home
+    return part, _cut(tokens, TOKEN), _least(per, ("<u1", "<u2", "<u4")), names[own].astype("<i8").tobytes(), _least(sizes[own], ("<u2", "<u4")), lengths.astype("<u2").tobytes(), home
 
 
 def _unblock(blocks: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """tokens, names, sizes, lengths of every entry."""
-    tokens = np.concatenate([np.frombuffer(x, "<u4") for x in blocks["tokens"]])
-    per = np.concatenate([np.frombuffer(x, "<u4") for x in blocks["owners"]])
+    tokens = np.concatenate([_uncut(x, TOKEN) for x in blocks["tokens"]])
+    per = np.concatenate([_widened(x) for x in blocks["owners"]])
     names = np.repeat(np.concatenate([np.frombuffer(x, "<i8") for x in blocks["names"]]), per)
-    sizes = np.repeat(np.concatenate([np.frombuffer(x, "<u4") for x in blocks["sizes"]]), per)
+    sizes = np.repeat(np.concatenate([_widened(x) for x in blocks["sizes"]]), per)
     return tokens, names, sizes, np.concatenate([np.frombuffer(x, "<u2") for x in blocks["lengths"]])
 
 
 def sharing_classes(rows: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
-    """id, text -> name, n, data, short: each class that shares as many shingles as any link takes.
+    """id, text -> name, n, shared, data, short: each class that shares as many shingles as any link takes.
 
-    data: its shared shingles, 40 bits each; short: those of them in its short lists.
+    shared: how many those are; data: the shared shingles, 48 bits each; short: those of them in its short lists.
     """
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
+    none = np.empty(0, np.uint16)
+
+    def blocks_of(sets: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets])
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        by, dealt = _dealt(token, parts)
+        token, owner, names = (token >> np.uint64(64 - 8 * TOKEN))[by], owner[by], np.array(names, np.int64)
+        return pa.RecordBatch.from_pandas(pd.DataFrame([_block(k, token[a:b], owner[a:b], names, sizes, none, 0) for k, a, b in dealt], columns=BLOCK_COLUMNS), _BLOCK_ARROW, preserve_index=False)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, sets, names, held = set(), [], [], 0
         for batch in batches:
-            sets, names = [], []
-            for s in shingles(batch["text"].tolist(), words):
+            for s in shingles(_bytes(batch, 0), words):
                 if len(s) and (name := name_of(s)) not in seen:
                     seen.add(name)
                     sets.append(s)
                     names.append(name)
-            if sets:
-                sizes = np.array([len(s) for s in sets])
-                token, owner, names = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.array(names, np.int64)
-                by, dealt = _dealt(token, parts)
-                token, owner, none = (token >> np.uint64(32)).astype(np.uint32)[by], owner[by], np.empty(0)
-                yield pd.DataFrame([_block(k, token[a:b], owner[a:b], names, sizes, none, 0) for k, a, b in dealt], columns=BLOCK_COLUMNS)
+                    held += len(s)
+                    if held >= HELD:
+                        yield blocks_of(sets, names)
+                        sets, names, held = [], [], 0
+        if sets:
+            yield blocks_of(sets, names)
 
     def share(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
         tokens, names, sizes, _ = _unblock(blocks)
@@ -227,8 +306,9 @@ def sharing_classes(rows: DataFrame, words: int, percent: int, parts: int) -> Da
 
     def choose(blocks: pd.DataFrame) -> pd.DataFrame:
         tokens, names, sizes, lengths = _unblock(blocks)
-        home = np.repeat(blocks["home"].to_numpy(np.uint64), [len(x) // 4 for x in blocks["tokens"]])
-        whole = _mix((home << np.uint64(32)) | tokens) & np.uint64(0xFFFFFFFFFF)
+        home = np.repeat(blocks["home"].to_numpy(np.uint64), [len(x) // TOKEN for x in blocks["tokens"]])
+        # of the shingle's 64 bits, its place among the parts and the 40 of its token are known
+        whole = _mix((home << np.uint64(8 * TOKEN)) ^ tokens) & np.uint64((1 << 8 * DATA) - 1)
         by = np.lexsort((whole, lengths, names))
         names, sizes, whole = names[by], sizes[by], whole[by]
         starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
@@ -237,25 +317,23 @@ def sharing_classes(rows: DataFrame, words: int, percent: int, parts: int) -> Da
             n, shared = int(sizes[a]), b - a
             if shared >= least_overlap(n, percent):
                 # the n - shared others come first in the order of lists, and nobody else is in theirs
-                out.append((int(names[a]), n, _five(np.sort(whole[a:b])), _five(whole[a : a + shared - least_overlap(n, percent) + 1])))
-        return pd.DataFrame(out, columns=["name", "n", "data", "short"])
+                out.append((int(names[a]), n, shared, _cut(np.sort(whole[a:b]), DATA), _cut(whole[a : a + shared - least_overlap(n, percent) + 1], DATA)))
+        return pd.DataFrame(out, columns=["name", "n", "shared", "data", "short"])
 
-    entries = rows.select("text").mapInPandas(post, BLOCK_SCHEMA).groupBy("part").applyInPandas(share, BLOCK_SCHEMA)
-    return entries.groupBy("part").applyInPandas(choose, "name long, n long, data binary, short binary")
+    entries = rows.select("text").mapInArrow(post, BLOCK_SCHEMA).groupBy("part").applyInPandas(share, BLOCK_SCHEMA)
+    return entries.groupBy("part").applyInPandas(choose, "name long, n long, shared long, data binary, short binary")
 
 
 BLOCK_COLUMNS = ["part", "tokens", "owners", "names", "sizes", "lengths", "home"]
 
 
-def _five(x: np.ndarray) -> bytes:
-    """Numbers of 40 bits as five bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+_BLOCK_ARROW = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in BLOCK_COLUMNS[1:-1]), ("home", pa.int32())])
+#: Bytes of a shared shingle in a set's data.
+DATA = 6
 
 
 def _whole(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
+    return _uncut(data, DATA)
 
 
 def short_lists(classes: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -267,7 +345,7 @@ def short_lists(classes: DataFrame, percent: int, parts: int) -> DataFrame:
                 sets = [_whole(x) for x in batch["short"]]
                 token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
                 by, dealt = _dealt(token, parts)
-                token, owner, none = (token >> np.uint64(8)).astype(np.uint32)[by], owner[by], np.empty(0)
+                token, owner, none = (token >> np.uint64(8 * (DATA - TOKEN)))[by], owner[by], np.empty(0, np.uint16)
                 yield pd.DataFrame([_block(k, token[a:b], owner[a:b], batch["name"].to_numpy(), batch["n"].to_numpy(), none, 0) for k, a, b in dealt], columns=BLOCK_COLUMNS)
 
     def gather(blocks: pd.DataFrame) -> pd.DataFrame:
@@ -286,14 +364,14 @@ def short_lists(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     return classes.select("name", "n", "short").mapInPandas(post, BLOCK_SCHEMA).groupBy("part").applyInPandas(gather, "centre long, name long").distinct()
 
 
-def divide_skip(query: np.ndarray, need, index: dict[int, list[int]], probes: int, skip) -> Iterator[int]:
-    """Members that share at least need(member) shingles with the query.
+def divide_skip(lists: list[list[int]], need, probes: int, skip) -> Iterator[int]:
+    """Members that stand in at least need(member) of a query's lists.
 
-    The query's lists are split: all but the `probes` shortest are long. The short lists are
-    merged by a heap; a member that occurs there often enough to reach its need with every
-    long list is probed in those by binary search. skip(member) leaves out what needs no answer.
+    All but the `probes` shortest lists are long. The short lists are merged by a heap; a
+    member that occurs there often enough to reach its need with every long list is probed
+    in those by binary search. skip(member) leaves out what needs no answer.
     """
-    lists = sorted((index[t] for t in query.tolist() if t in index), key=len)
+    lists = sorted(lists, key=len)
     short, long = lists[:probes], lists[probes:]
     for member, times in groupby(heapq.merge(*short)):
         if skip(member):
@@ -308,35 +386,29 @@ def divide_skip(query: np.ndarray, need, index: dict[int, list[int]], probes: in
             yield member
 
 
-def _index(sets: list[np.ndarray], members: list[int]) -> dict[int, list[int]]:
-    """Inverted lists, ascending, of the members."""
-    if not members:
-        return {}
-    tokens = np.concatenate([sets[m] for m in members])
-    owners = np.repeat(np.array(members), [len(sets[m]) for m in members])
+def _index(sets: list[np.ndarray]) -> dict[int, list[int]]:
+    """Inverted lists, ascending, of what more than one set holds."""
+    tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     by = np.argsort(tokens, kind="stable")
     tokens, owners = tokens[by], owners[by]
-    cuts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True]))).tolist()
-    owners = owners.tolist()
-    return {t: owners[a:b] for t, a, b in zip(tokens[cuts[:-1]].tolist(), cuts, cuts[1:])}
-
-
-def is_link(shared: int, a: int, b: int, percent: int) -> bool:
-    return 100 * shared >= percent * (a + b - shared) and shared > 0
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    ends = np.append(starts[1:], len(tokens))
+    more = ends - starts > 1
+    return {t: owners[a:b].tolist() for t, a, b in zip(tokens[starts[more]].tolist(), starts[more].tolist(), ends[more].tolist())}
 
 
-def search(sets: list[np.ndarray], n: list[int], percent: int, tied: list[bool], left: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is connected among the sets (ascending arrays), but for pairs of tied sets.
+def search(sets: list[np.ndarray], n: list[int], percent: int, centre: int | None = None, tied: list[bool] | None = None, left: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is connected among the sets (ascending arrays).
 
-    n: whole sizes; what sets lack of them nobody shares. Tied sets are known to be connected
-    with each other. With left given, only pairs of a left and another set are asked for; tied
-    sets are not left.
+    n: whole sizes; what sets lack of them nobody shares. The centre, if given, is the first
+    query, and what it finds is tied. Tied sets are known to be connected with each other,
+    so they are no queries. With left given, only pairs of a left and another set are asked
+    for; tied sets are not left.
     """
-    free = [i for i, t in enumerate(tied) if not t]
-    queries = [i for i in free if left is None or left[i]]
-    if not queries:
+    if not sets:
         return []
-    parent = list(range(len(sets)))
+    index, parent = _index(sets), list(range(len(sets)))
+    tied = [False] * len(sets) if tied is None else list(tied)
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -344,41 +416,35 @@ def search(sets: list[np.ndarray], n: list[int], percent: int, tied: list[bool],
             x = parent[x]
         return x
 
+    def found(q: int, skip) -> Iterator[int]:
+        least, most = least_overlap(n[q], percent), n[q] * 100 // percent
+        lists = [index[t] for t in sets[q].tolist() if t in index]
+        # of n - least + 1 lists any partner stands in one; those that nobody else stands in are of no use
+        probes = len(lists) - least + 1
+        if probes > 0:
+            yield from divide_skip(lists, lambda m: -(-percent * (n[q] + n[m]) // (100 + percent)), probes, lambda m: m == q or not least <= n[m] <= most or skip(m))
+
+    out: list[tuple[int, int]] = []
+    if centre is not None:
+        tied[centre] = True
+        for m in found(centre, lambda m: False):
+            tied[m] = True
+            out.append((centre, m))
     together = [i for i, t in enumerate(tied) if t]
     for i in together:
         parent[i] = together[0]
-    others = free if left is None else [i for i in free if not left[i]]
-    among, with_tied = _index(sets, others) if len(others) > (left is None) else {}, _index(sets, together)
-    out: list[tuple[int, int]] = []
-    for q in queries:
-        least, most = least_overlap(n[q], percent), n[q] * 100 // percent
-        need = lambda m, q=q: -(-percent * (n[q] + n[m]) // (100 + percent))
-        for index, later in ((with_tied, False), (among, left is None)):
-            # lists that nobody stands in leave fewer that have to be merged
-            probes = n[q] - least + 1 - (n[q] - sum(t in index for t in sets[q].tolist())) if index else 0
-            if probes <= 0:
-                continue
-            for m in divide_skip(sets[q], need, index, probes, lambda m, q=q, later=later, a=least, b=most: (later and m <= q) or not a <= n[m] <= b or root(m) == root(q)):
-                x, y = root(q), root(m)
-                parent[max(x, y)] = min(x, y)
-                out.append((q, m))
-                if index is with_tied:
-                    break
+    for q in range(len(sets)):
+        if tied[q] or left is not None and not left[q]:
+            continue
+        # a pair of queries is asked for by the first of them
+        asked = (lambda m: left[m]) if left is not None else (lambda m: m < q and not tied[m])
+        for m in found(q, lambda m: asked(m) or root(m) == root(q)):
+            x, y = root(q), root(m)
+            parent[max(x, y)] = min(x, y)
+            out.append((q, m))
     return out
 
 
-def _near(sets: list[np.ndarray], n: list[int], middle: int, percent: int) -> list[bool]:
-    """Whether each set links to the one in the middle, or is it."""
-    centre, sizes = sets[middle], np.array([len(s) for s in sets])
-    all_of = np.concatenate(sets)
-    at = np.searchsorted(centre, all_of)
-    at[at == len(centre)] = 0
-    hits = np.concatenate(([0], np.cumsum(centre[at] == all_of)))
-    ends = np.cumsum(sizes)
-    shared = (hits[ends] - hits[ends - sizes]).tolist()
-    return [is_link(k, own, n[middle], percent) for k, own in zip(shared, n)]
-
-
 EDGES = "a long, b long"
 
 
@@ -390,36 +456,44 @@ def links(rows: DataFrame, sig: DataFrame, words: int, percent: int) -> DataFram
     """a, b: links between classes, enough to connect every component."""
     total = sig.where("name is not null").groupBy("name").agg(F.first("n_shingles").alias("n")).agg(F.sum("n")).first()[0] or 0
     classes = written(sharing_classes(rows, words, percent, max(16, -(-int(total) // ENTRIES))), "sharing-classes")
-    entries = classes.agg(F.sum(F.octet_length("short")) / 5).first()[0] or 0
+    entries = classes.agg(F.sum(F.octet_length("short")) / DATA).first()[0] or 0
     met = written(short_lists(classes, percent, max(16, -(-int(entries) // ENTRIES))), "buckets")
     data = classes.select("name", "n", "data")
-    large = written(met.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > BLOCK).select("centre"), "large-buckets")
+    # more bytes or more sets than one task takes
+    blocks = F.greatest(F.ceil(F.sum("shared") * DATA / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks")
+    large = written(met.join(classes.select("name", "shared"), "name").groupBy("centre").agg(blocks).where("blocks > 1"), "large-buckets")
 
     def bucket(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        names, sets, n = members["name"].tolist(), [_whole(x) for x in members["data"]], members["n"].tolist()
-        middle = names.index(key[0])
-        tied = _near(sets, n, middle, percent)
-        found = [(middle, i) for i, t in enumerate(tied) if t and i != middle] + search(sets, n, percent, tied)
+        names = members["name"].tolist()
+        found = search([_whole(x) for x in members["data"]], members["n"].tolist(), percent, names.index(key[0]))
         return _frame([(names[i], names[j]) for i, j in found])
 
     if large.isEmpty():
         return met.join(data, "name").groupBy("centre").applyInPandas(bucket, EDGES)
     small = met.join(large, "centre", "left_anti").join(data, "name").groupBy("centre").applyInPandas(bucket, EDGES)
-    return small.union(_large_links(met.join(large, "centre", "left_semi"), data, percent))
-
+    return small.union(_large_links(met.join(large, "centre"), classes, percent))
 
-def _large_links(met: DataFrame, data: DataFrame, percent: int) -> DataFrame:
-    """The links of buckets that are dealt into blocks."""
 
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            near = [_near([_whole(x), _whole(c)], [n, m], 1, percent)[0] for x, n, c, m in zip(batch["data"], batch["n"].tolist(), batch["middle"], batch["m"].tolist())]
-            yield batch[["centre", "name"]].assign(tied=np.array(near, bool))
+def _large_links(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The links of buckets that are dealt into blocks; met: centre, name, blocks."""
+    data = classes.select("name", "n", "data")
 
-    middle = data.select(F.col("name").alias("centre"), F.col("data").alias("middle"), F.col("n").alias("m"))
-    tested = written(met.join(data, "name").join(middle, "centre").mapInPandas(test, "centre long, name long, tied boolean"), "tested")
-    sizes = tested.groupBy("centre").agg(F.count_if(~F.col("tied")).alias("free"), F.count_if("tied").alias("near")).where("free > 0")
-    blocks = sizes.select("centre", F.expr(f"cast(ceil(free / {BLOCK}) as int)").alias("nf"), F.expr(f"cast(ceil(near / {BLOCK}) as int)").alias("nt"))
+    def ask(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        """The centre as the query of a block."""
+        names = members["name"].tolist()
+        at = names.index(key[0])
+        near = {j for _, j in search([_whole(x) for x in members["data"]], members["n"].tolist(), percent, at, left=[False] * len(names))}
+        own = [i for i in range(len(names)) if i != at]
+        return pd.DataFrame({"centre": key[0], "name": np.array([names[i] for i in own], np.int64), "tied": np.array([i in near for i in own], bool)})
+
+    # the centre comes to every block
+    dealt = met.where("name != centre").select("centre", "name", F.pmod(F.xxhash64("name"), "blocks").alias("k"))
+    every = met.where("name = centre").select("centre", "name", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    tested = written(dealt.union(every).join(data, "name").groupBy("centre", "k").applyInPandas(ask, "centre long, name long, tied boolean"), "tested")
+    sized = tested.join(classes.select("name", "shared"), "name")
+    count = lambda own: F.greatest(F.ceil(F.sum(F.when(own, F.col("shared"))) * DATA / BLOCK_BYTES), F.ceil(F.count_if(own) / BLOCK)).cast("int")
+    # the centre is among the tied, so that a bucket without a free set has nothing left to ask
+    blocks = sized.groupBy("centre").agg(F.coalesce(count(~F.col("tied")), F.lit(0)).alias("nf"), F.coalesce(count(F.col("tied")), F.lit(0)).alias("nt")).where("nf > 0")
     dealt = tested.join(blocks, "centre").withColumn("k", F.when(F.col("tied"), F.pmod(F.xxhash64("name"), F.col("nt"))).otherwise(F.pmod(F.xxhash64("name"), F.col("nf"))).cast("int"))
     # task (i, j): free block i with free block j >= i; (i, -1 - j): free block i with tied block j
     pair = "named_struct('i', {}, 'j', {})"
@@ -431,10 +505,10 @@ def _large_links(met: DataFrame, data: DataFrame, percent: int) -> DataFrame:
         _, i, j = key
         names, sets, tied = members["name"].tolist(), [_whole(x) for x in members["data"]], members["tied"].tolist()
         left = None if i == j else [not t and k == i for t, k in zip(tied, members["k"])]
-        return _frame([(names[a], names[b]) for a, b in search(sets, members["n"].tolist(), percent, tied, left)])
+        return _frame([(names[a], names[b]) for a, b in search(sets, members["n"].tolist(), percent, tied=tied, left=left)])
 
     found = tasks.join(data, "name").groupBy("centre", "i", "j").applyInPandas(task, EDGES)
-    return tested.where("tied and centre != name").select(F.col("centre").alias("a"), F.col("name").alias("b")).union(found)
+    return tested.where("tied").select(F.col("centre").alias("a"), F.col("name").alias("b")).union(found)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -466,6 +540,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     """
     if words < 1 or not 50 < percent <= 100:
         raise ValueError("words must be positive and percent above 50, at most 100")
+    bounded(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sig = written(signatures(rows, words), "signatures")
     labels = component_labels(links(rows, sig, words, percent))
@@ -485,7 +560,8 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     found = written(ngram_join(docs, words, percent, id_col, text_col), "components")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     # what is kept grows with the input, so it is not broadcast at any size
-    one = docs.join(kept.select(F.col("doc_id").alias("_keep")).hint("merge"), F.col(f"`{id_col}`") == F.col("_keep"), "left_semi")
+    name = free_name(docs, "keep")
+    one = docs.join(kept.select(F.col("doc_id").alias(name)).hint("merge"), F.col(f"`{id_col}`") == F.col(name), "left_semi")
     if not kept.where("n > 1").isEmpty():
         one = one.dropDuplicates([id_col, text_col])
     return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

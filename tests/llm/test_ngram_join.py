@@ -63,9 +63,10 @@ def test_awkward_rows(spark):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 3, 4, 5, 6, 7, 9, 10, None]))
 
 
-@pytest.mark.parametrize("block, chunk", [(4096, 1 << 21), (5, 300)])
-def test_families_against_brute_force(spark, monkeypatch, block, chunk):
+@pytest.mark.parametrize("block, size, chunk", [(4096, 1 << 30, 1 << 21), (5, 1 << 30, 300), (100, 1500, 300)])
+def test_families_against_brute_force(spark, monkeypatch, block, size, chunk):
     monkeypatch.setattr(nj, "BLOCK", block)
+    monkeypatch.setattr(nj, "BLOCK_BYTES", size)
     monkeypatch.setattr(nj, "CHUNK", chunk)
     rows = families()
     want = brute(rows)
@@ -73,18 +74,23 @@ def test_families_against_brute_force(spark, monkeypatch, block, chunk):
     assert got(nj.ngram_join(plain(spark, rows))) == want
 
 
-def test_search_finds_what_is_connected():
+@pytest.mark.parametrize("centre", [None, 0, 9])
+def test_search_finds_what_is_connected(centre):
     import numpy as np
 
+    def linked(a, b):
+        both = len(np.intersect1d(a, b))
+        return both > 0 and 100 * both >= 80 * (len(a) + len(b) - both)
+
     pick = random.Random(1)
     sets = []
     for _ in range(40):
         base = pick.sample(range(10**6), 60)
         for _ in range(4):
             sets.append(np.unique(np.array(base[: pick.randint(45, 60)] + pick.sample(range(10**6), 3), np.uint64)))
-    found = nj.search(sets, [len(s) for s in sets], 80, [False] * len(sets))
+    found = nj.search(sets, [len(s) for s in sets], 80, centre)
     for a, b in found:
-        assert nj.is_link(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80)
+        assert linked(sets[a], sets[b])
     parent = list(range(len(sets)))
 
     def root(x):
@@ -96,19 +102,22 @@ def test_search_finds_what_is_connected():
         parent[root(a)] = root(b)
     for a in range(len(sets)):
         for b in range(a):
-            if nj.is_link(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]), 80):
+            if linked(sets[a], sets[b]):
                 assert root(a) == root(b)
 
 
-def test_shingles_against_words():
-    texts = ["", None, " ", "a", "A b", "a b c d e f a b c d e", "x\x0by\x0cz \t\r\n w v u", "é É ü\u00a0x y z w v", "b" * 5000 + " c d e f g", "a a a a a a a a a"]
-    got = list(nj.shingles(texts, 5))
+@pytest.mark.parametrize("chunk, long_word", [(1 << 19, 1 << 16), (40, 12), (200, 3000)])
+def test_shingles_against_words(monkeypatch, chunk, long_word):
+    monkeypatch.setattr(nj, "CHUNK", chunk)
+    monkeypatch.setattr(nj, "LONG_WORD", long_word)
+    texts = ["x " * 200 + "b" * 5000, "b" * 200 + " " + "c" * 41 + " d e f g h " * 20, "", None, " ", "a", "A b", "a b c d e f a b c d e", "x\x0by\x0cz \t\r\n w v u", "é É ü\u00a0x y z w v", "b" * 5000 + " c d e f g", "a a a a a a a a a"]
+    got = list(nj.shingles([t and t.encode() for t in texts], 5))
     known = {}
     for text, s in zip(texts, got):
         w = (text or "").encode().translate(nj._LOWER).split()
         want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
         assert len(s) == len(want)
         for one in want:
-            known[one] = list(nj.shingles([b" ".join(one).decode()], 5))[0][0]
+            known[one] = list(nj.shingles([b" ".join(one)], 5))[0][0]
         assert {known[one] for one in want} == set(s)
     assert len(set(known.values())) == len(known)

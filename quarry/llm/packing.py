@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import bounded, table
 from quarry.llm.tokens import encoder
 
 LENGTH = 1024
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, path: str, groups: int, length: int, end: int, id_co
     """doc_id, has_id, start, length, ids (little-endian 16 or 32 bits), width, doc_tokens and group of every piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = encoder(path, True)
+        tok = encoder(path)
         width = 2 if max(tok.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         seen: dict[int, int] = {}
         columns = ["doc_id", "has_id", "start", "length", "ids", "width", "doc_tokens", "group"]
@@ -129,6 +129,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
     """
     if length < 1:
         raise ValueError("length must be positive")
+    bounded(docs.sparkSession)
     groups = max(1, round(docs.count() / group))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, table, written
+from quarry.llm.common import bounded, shared_dir, table, written
 from quarry.llm.tokens import encoder
 
 MAGIC = b"QTF1"
@@ -38,6 +38,8 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Ids of a file, about; a document is never cut.
 FILE_IDS = 1_000_000
+#: Ids below it are counted in an array.
+MOST_COUNTED = 1 << 22
 #: Lengths of the four codes of a control byte, and their sum.
 _CODES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 _SUM = _CODES.sum(1).astype(np.int64)
@@ -52,17 +54,28 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def pack_file(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     """One file of documents in the given order."""
     ids = np.concatenate([np.asarray(d, np.uint32) for d in docs]) if docs else np.empty(0, np.uint32)
-    values, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    by = np.lexsort((values, -counts))
-    rank = np.empty(len(values), np.uint32)
-    rank[by] = np.arange(len(values), dtype=np.uint32)
-    codes = rank[where]
+    if len(ids) and int(ids.max()) < MOST_COUNTED:  # a vocabulary's ids are counted, others are sorted
+        counts = np.bincount(ids)
+        values = np.flatnonzero(counts)
+        by = np.lexsort((values, -counts[values]))
+        rank = np.empty(len(counts), np.uint32)
+        rank[values[by]] = np.arange(len(values), dtype=np.uint32)
+        codes = rank[ids]
+    else:
+        values, where, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        by = np.lexsort((values, -counts))
+        rank = np.empty(len(values), np.uint32)
+        rank[by] = np.arange(len(values), dtype=np.uint32)
+        codes = rank[where]
     size = 1 + (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
     bits = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
     bits[: len(codes)] = size - 1
     control = (bits.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
-    spread = codes.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = spread[np.arange(4) < size[:, None]]
+    ends = np.cumsum(size, dtype=np.int64)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(4):
+        more = np.flatnonzero(size > k)
+        data[ends[more] - size[more] + k] = codes[more] >> np.uint32(8 * k) & np.uint32(0xFF)
     return b"".join((
         HEADER.pack(MAGIC, len(docs), len(values), len(codes), len(data)), values[by].astype("<u4").tobytes(),
         np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
@@ -103,7 +116,7 @@ def write_files(docs: DataFrame, to: str, path: str | None = None, end: int = EN
     """Write the documents as token files in ascending id order, null ids first; rows of one id by text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = encoder(path or tokenizer_path(), False)
+        tok = encoder(path or tokenizer_path())
         names: list = []
         ids: list[np.ndarray] = []
         held = k = 0
@@ -120,6 +133,7 @@ def write_files(docs: DataFrame, to: str, path: str | None = None, end: int = EN
         if names:
             yield pd.DataFrame({"part": [part], "k": [k], "docs": [len(names)], "tokens": [held], "content": [pack_file(names, ids)]})
 
+    bounded(docs.sparkSession)
     key = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(key.alias("key"), F.coalesce(key, F.lit(0)).alias("id"), key.isNotNull().alias("has"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # ids spread over range partitions; equal ids meet in one, and are few
@@ -130,6 +144,7 @@ def write_files(docs: DataFrame, to: str, path: str | None = None, end: int = EN
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (32-bit little-endian) of each document of the files."""
+    bounded(spark)
     files = spark.read.parquet(path)
     # sums by partition of the files first: each is a bounded number of rows
     parts = files.groupBy("part").agg(F.sum("tokens").alias("n"))

@@ -1,25 +1,52 @@
+import json
 import random
 import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quarry.llm import packing, tokenfiles, tokens
 from tests.llm.fixtures import SMALL, docs, plain
 
-HARD = ["", None, " ", "a  b", "\n", "a \nb", "a\n b", "  x", "x ", "x\n", "\nabc def", "Don't stop'll we're", "É ü ñandú ß", "😀 a 😀b", "<|endoftext|> x <|startoftext|>",
-        "a b c  d", "tab\tb \t c", "1234 a1b2 ||| | a|b", "x y z", "’quoted’ “a”", "İstanbul ΑΣ Σ", "ｆｕｌｌ ﬁ é é ́a", "\x1ca b\x1c c", "a'sb 'll 'd x's", "| |", "a |   | b"]
+HARD = ["", None, " ", "a  b", "\n", "a \nb", "a\n b", "  x", "x ", "x\n", "\nabc def", "Don't stop'll we're", "É ü ñandú ß", "😀 a 😀b", "<|endoftext|> x <|startoftext|>", "x<|endoftext|>y", "<|endoftext", "a\n\nb", "a\n\n\nb", "a\n\n", "\n\na",
+        "a b c  d", "tab\tb \t c", "1234 a1b2 ||| | a|b", "x y z", "’quoted’ “a”", "İstanbul ΑΣ Σ ªº ŉa ǅ", "ｆｕｌｌ ﬁ é é ́a", "\x1ca b\x1c c", "a'sb 'll 'd x's", "| |", "a |   | b", "Word. WORD, word!? (word) w-w 12, 12.5 ###", "a\x0b \x0cb", "\u2028 a\u2028b"]
 
 
-@pytest.mark.parametrize("path, spaced", [(packing.tokenizer_path(), True), (tokenfiles.tokenizer_path(), False)])
-def test_words_give_the_ids_of_the_library(path, spaced):
-    e = tokens.Encoder(path, spaced)
+def library(path):
+    """The truth of all these tests: the library's tokenizer as the file gives it."""
+    t = Tokenizer.from_file(path)
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def hard_texts():
     pick = random.Random(4)
-    texts = HARD + ["".join(pick.choices("ab é\n|'.,#9  😀", k=pick.randint(1, 60))) for _ in range(400)]
-    want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    return HARD + ["".join(pick.choices("ab é\n|'.,#9  😀", k=pick.randint(1, 60))) for _ in range(400)]
+
+
+@pytest.mark.parametrize("path", [packing.tokenizer_path(), tokenfiles.tokenizer_path()])
+def test_words_give_the_ids_of_the_library(path, monkeypatch):
+    e, truth, texts = tokens.Encoder(path), library(path), hard_texts()
+    want = [truth(t) for t in texts]
+    assert e.make
     for _ in range(2):
         assert [x.tolist() for x in e.ids(texts)] == want
     assert [next(e.ids([t])).tolist() for t in texts] == want
+    # words that are forgotten, and texts that are looked up in parts
+    monkeypatch.setattr(tokens, "MEMORY", 20)
+    monkeypatch.setattr(tokens, "CHARACTERS", 25)
+    assert [x.tolist() for x in e.ids(texts)] == want
+    e.forget(5)
+    assert len(e.places) <= 5 and [x.tolist() for x in e.ids(texts)] == want
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    made = json.load(open(packing.tokenizer_path()))
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    path = str(tmp_path / "other.json")
+    e, truth = tokens.Encoder(path), library(path)
+    assert e.make is None and [x.tolist() for x in e.ids(HARD)] == [truth(t) for t in HARD]
 
 
 def test_first_fit_decreasing_against_brute_force():
@@ -37,8 +64,8 @@ def test_first_fit_decreasing_against_brute_force():
 
 
 def whole(rows, path, end):
-    e = tokens.Encoder(path, True)
-    return sorted((repr(r[0]), zlib.crc32(np.array([*e._plain(r[1] or ""), end], "<u4").tobytes())) for r in rows)
+    truth = library(path)
+    return sorted((repr(r[0]), zlib.crc32(np.array([*truth(r[1]), end], "<u4").tobytes())) for r in rows)
 
 
 def test_packing_keeps_every_id_once(spark):
@@ -66,6 +93,16 @@ def test_packing_whole_table(spark):
     got = packing.op7_tournament_packing(spark, SMALL).collect()
     tokens_, sequences = sum(r.length for r in got), len({r.sequence_id for r in got})
     assert tokens_ / (1024 * sequences) > 0.97
+    truth = library(packing.tokenizer_path())
+    whole_ids = {r.doc_id: [*truth(r.text), 0] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    pieces = {}
+    for r in got:
+        ids = whole_ids[r.doc_id]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert set(pieces) == set(whole_ids)
+    for doc, own in pieces.items():
+        assert [a for a, _ in sorted(own)] == np.cumsum([0, *[n for _, n in sorted(own)]])[:-1].tolist() and sum(n for _, n in own) == len(whole_ids[doc])
 
 
 def test_files_round_trip():
@@ -84,11 +121,11 @@ def test_files_round_trip():
 def test_files_of_whole_table(spark, monkeypatch):
     monkeypatch.setattr(tokenfiles, "FILE_IDS", 20_000)
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
-    e = tokens.Encoder(tokenfiles.tokenizer_path(), False)
+    truth = library(tokenfiles.tokenizer_path())
     got = sorted(tokenfiles.op9_token_files(spark, SMALL).collect(), key=lambda r: r.doc_id)
     start = 0
     for r in got:
-        ids = [*e._plain(texts[r.doc_id]), 1]
+        ids = [*truth(texts[r.doc_id]), 1]
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert len(got) == len(texts)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where unset one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quarry-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder of the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quarry-shared"
 
 
 #: Bytes of rows that go to a Python worker at once; a longer row goes alone.
@@ -69,6 +64,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns named by place, so that none can clash, and the new name of each old one."""
+    place = {c: f"own_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*place.values()), place
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone; extra columns, whatever their names, take no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, group_key, table
+from quarry.llm.common import SPACE, group_key, shielded, table
 
 #: Schedules of sources in code point order, repeating: (time, weight) knots with integrals 5, 2 and 1.
 SCHEDULES = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 1.0), (0.5, 2.0), (1.0, 3.0)), ((0.0, 1.0), (1.0, 1.0)))
@@ -79,10 +79,21 @@ def mix(docs: DataFrame, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, seed
     """Each row of docs with what the mix takes of it.
 
     Adds _size, _source_size, _target, _copies, _taken and _positions (one for each copy,
-    ascending). A null text has size 0; null sources are one source, the last. Rows of size
-    0 take nothing but keep a place. Equal ids keep a fixed order by size and text; equal
-    rows are interchangeable. Column names of docs that start with _mix are not allowed.
+    ascending); columns of docs by these names are left out. A null text has size 0; null
+    sources are one source, the last. Rows of size 0 take nothing but keep a place. Equal
+    ids, null ones too, keep a fixed order by size and text; equal rows are interchangeable.
+    An empty table gives no rows.
     """
+    own, place = shielded(docs)
+    out = _mixed(own, schedules, max_repeat, seed, place[id_col], place[text_col], place[source_col])
+    return out.select(*[F.col(p).alias(c) for c, p in place.items() if c.lower() not in ADDED], *ADDED)
+
+
+#: What mix() adds to a row.
+ADDED = ("_size", "_source_size", "_target", "_copies", "_taken", "_positions")
+
+
+def _mixed(docs: DataFrame, schedules, max_repeat: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -116,11 +127,17 @@ def mix(docs: DataFrame, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, seed
     return out.withColumn("_positions", places).drop("_mix_s", "_mix_h", "_mix_b", "_mix_before", "_mix_start", "_mix_rounds", "_mix_t", "_k")
 
 
-def curriculum(docs: DataFrame, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, seed: str = "mix", **names: str) -> DataFrame:
-    """The mix itself: one row for each copy with its `_position`, range-sorted by position."""
-    out = mix(docs, schedules, max_repeat, seed, **names)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, F.explode("_positions").alias("_position")).orderBy("_position", names.get("id_col", "doc_id"))
+def curriculum(docs: DataFrame, schedules=SCHEDULES, max_repeat: int = MAX_REPEAT, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", position_col: str | None = "_position") -> DataFrame:
+    """The mix itself: one row of docs for each copy, range-sorted by its training position.
+
+    The position is a last column, unless position_col is None or a name that docs has.
+    Awkward rows are as mix() has them.
+    """
+    own, place = shielded(docs)
+    out = _mixed(own, schedules, max_repeat, seed, place[id_col], place[text_col], place[source_col])
+    out = out.select(*place.values(), F.explode("_positions").alias("_position")).orderBy("_position", place[id_col])
+    new = [F.col("_position").alias(position_col)] if position_col and position_col.lower() not in {c.lower() for c in docs.columns} else []
+    return out.select(*[F.col(p).alias(c) for c, p in place.items()], *new)
 
 
 def op2_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,11 +30,11 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 11, id_col: str =
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), group_key(F.col(source_col)).alias("_s"),
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), group_key(F.col(f"`{source_col}`")).alias("_s"),
         (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"),
+        F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed)).alias("_h"),
     )
     rows = rows.withColumn("_b", F.shiftrightunsigned("_h", 52))
 

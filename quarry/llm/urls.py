@@ -16,12 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import bounded, shielded, table
 
 #: The rules of the query: verdict, host, path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -74,38 +73,53 @@ def sweep(hosts: Sequence[str], paths: Sequence[str], rules: Sequence[tuple[str,
 
 
 def judge_swept(urls: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = DEFAULT_VERDICT) -> DataFrame:
-    """urls with string columns host and path -> with rule and verdict, batch by batch without a shuffle."""
+    """urls with string columns host and path -> with rule and verdict, batch by batch without a shuffle.
+
+    Columns of urls named rule or verdict are left out. A null host or path is empty; an
+    empty host fits no rule. Of rules of one length the longer host wins, then the first
+    given. Repeated rows are judged each; an empty table gives no rows. More rules than
+    MAX_RULES are joined instead.
+    """
+    urls = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("rule", "verdict")])
     if len(rules) > MAX_RULES:
-        raise ValueError("too many rules to travel with tasks; use judge_joined")
+        given = urls.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rules)], "verdict string, host string, path string, place long")
+        return judge_joined(urls, given, default)
+    bounded(urls.sparkSession)
     known = sorted(((host_key(h), p, h + p, v) for v, h, p in rules), key=lambda r: r[0])
     schema = ", ".join(f"`{c}` {t}" for c, t in urls.dtypes) + ", rule string, verdict string"
+    host, path = urls.columns.index("host"), urls.columns.index("path")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [r[:3] for r in known]
-        texts = np.array([r[2] for r in known] + [None], dtype=object)
-        verdicts = np.array([r[3] for r in known] + [default], dtype=object)
+        texts, verdicts = [r[2] for r in known] + [None], [r[3] for r in known] + [default]
         for batch in batches:
-            won = np.array(sweep(batch["host"].tolist(), batch["path"].tolist(), plain), dtype=int)
-            yield batch.assign(rule=texts[won], verdict=verdicts[won])
+            won = sweep([x or "" for x in batch.column(host).to_pylist()], [x or "" for x in batch.column(path).to_pylist()], plain)
+            new = [pa.array([x[k] for k in won], pa.string()) for x in (texts, verdicts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "rule", "verdict"])
 
-    return urls.mapInPandas(run, schema)
+    return urls.mapInArrow(run, schema)
 
 
 def judge_joined(urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """As judge_swept for any number of rules, given as a table of verdict, host and path.
 
     Distinct (host, path) pairs meet the rules through the suffixes of the host, so a hot
-    url is looked up once; its verdict then joins every row of it.
+    url is looked up once; its verdict then joins every row of it. Of equal rules that of
+    the smallest number in a column `place` wins, without one the verdict that sorts last.
     """
+    urls = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c.lower() not in ("rule", "verdict")])
     pairs = urls.select("host", "path").where(F.col("host") != "").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    rules = rules.select(F.col("host").alias("_suffix"), F.col("path").alias("_path"), F.col("verdict").alias("_verdict"))
-    met = pairs.withColumn("_suffix", F.explode(suffixes)).join(rules, "_suffix").where(F.expr("startswith(path, _path)"))
-    text = F.concat("_suffix", "_path")
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct(text.alias("rule"), F.col("_verdict").alias("v")), F.struct(F.length(text), F.length("_suffix"))).alias("_best"))
-    out = urls.join(best, ["host", "path"], "left")
-    return out.select(*urls.columns, F.col("_best.rule").alias("rule"), F.coalesce("_best.v", F.lit(default)).alias("verdict"))
+    first = -F.col("place") if "place" in rules.columns else F.lit(0).cast("long")
+    rules = rules.select(F.col("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"), first.alias("r_first"))
+    met = pairs.withColumn("r_host", F.explode(suffixes)).join(rules, "r_host").where(F.expr("startswith(coalesce(path, ''), r_path)"))
+    text = F.concat("r_host", "r_path")
+    best = met.groupBy("host", "path").agg(F.max_by(F.struct(text.alias("rule"), F.col("r_verdict").alias("v")), F.struct(F.length(text), F.length("r_host"), "r_first", "r_verdict")).alias("best"))
+    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
+    own, place = shielded(urls)
+    out = own.join(best, F.col(place["host"]).eqNullSafe(F.col("b_host")) & F.col(place["path"]).eqNullSafe(F.col("b_path")), "left")
+    return out.select(*[F.col(p).alias(c) for c, p in place.items()], F.col("best.rule").alias("rule"), F.coalesce("best.v", F.lit(default)).alias("verdict"))
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,8 +78,11 @@ def test_sweep_against_brute_force(spark, monkeypatch):
     table = spark.createDataFrame(rules, "verdict string, host string, path string")
     assert sorted((r.host, r.path, r.rule or "", r.verdict) for r in urls.judge_joined(df, table).collect()) == sorted((h, p, w[0] if w else "", w[1] if w else "allow") for h, p, w in zip(hosts, paths, want))
     monkeypatch.setattr(urls, "MAX_RULES", 3)
-    with pytest.raises(ValueError):
-        urls.judge_swept(df, urls.RULES)
+    # more rules than may travel are joined; the first given wins a tie
+    few = df.limit(40)
+    assert sorted(map(str, urls.judge_swept(few, urls.RULES).collect())) == sorted(str(r) for r in urls.judge_joined(few, spark.createDataFrame(urls.RULES, "verdict string, host string, path string")).collect())
+    tied = [("block", "tie.org", "/x"), ("allow", "tie.org", "/x"), *urls.RULES]
+    assert urls.judge_swept(spark.createDataFrame([("tie.org", "/x")], "host string, path string"), tied).first().verdict == "block"
 
 
 def test_urls_awkward_rows(spark):
@@ -121,6 +124,26 @@ def test_shards_of_whole_table(spark):
     check_shards(sharding.interleave(df.where("source < 'src13'"), shards=7).collect(), 7)
 
 
+def test_shards_against_plain_ranking(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = df.select("doc_id", "source", (F.octet_length("text") + 8).alias("size"), F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()
+    own = defaultdict(list)
+    for r in rows:
+        own[r.source].append((r.h % 2**64 >> 52, r.h, r.doc_id))
+    order = []
+    for source, all_of in own.items():
+        for rank, (_, h, doc) in enumerate(sorted(all_of)):
+            share = (2 * rank + 1) / (2 * len(all_of))
+            order.append((min(sharding.BUCKETS - 1, int(share * sharding.BUCKETS)), share, "s" + source, h, doc))
+    n, want = len(order), {}
+    for place, (*_, doc) in enumerate(sorted(order)):
+        shard = place * 24 // n
+        want[doc] = (shard, place - -(-shard * n // 24))
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.op8_stratified_interleave(spark, SMALL).collect()} == want
+
+
 def test_shards_awkward_rows(spark):
     rows = sharding.interleave(docs(spark), shards=3).collect()
     check_shards(rows, 3)

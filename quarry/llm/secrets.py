@@ -33,52 +33,89 @@ PATTERNS = dict(zip(KINDS, (ASSIGN, ACCESS, HEX, IDENTIFIER, WEAK_SECRET, ENDPOI
 #: Code points by which a part reaches beyond its span.
 REACH = 240
 REDACTED = "[SECRET]"
+#: Code points of a part that kept text is cut from.
+PART = 4096
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: A text without any of these has nothing to report: identifiers and endpoints need a secret beside them.
 ANY_SECRET = "|".join((ASSIGN, ACCESS, HEX, WEAK_SECRET))
 
 
-def _spans(text: str, found: str, gaps: str, kind: int) -> Column:
+def _let(value: str, name: str, body: str) -> str:
+    """body with name standing for the value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scanned(items: str, value, plus, zero: str) -> str:
+    """An array of struct(x, before): each item with the sum of value(x) over the items before it.
+
+    The items are cut into about as many blocks as a block has items, so n items take about
+    n ** 1.5 steps.
+    """
+    inner = f"transform(b, (x, j) -> named_struct('x', x, 'before', aggregate(slice(b, 1, j), base, (s, y) -> {plus('s', value('y'))})))"
+    block = _let(f"aggregate(slice(tops, 1, k), {zero}, (s, y) -> {plus('s', 'y')})", "base", inner)
+    body = _let(f"transform(blocks, b -> aggregate(b, {zero}, (s, y) -> {plus('s', value('y'))}))", "tops", f"transform(blocks, (b, k) -> {block})")
+    cut = "transform(sequence(0, (greatest(size(a), 1) - 1) div w), k -> slice(a, k * w + 1, w))"
+    return f"flatten({_let(items, 'a', _let('cast(greatest(1, ceil(sqrt(size(a)))) as int)', 'w', _let(cut, 'blocks', body)))})"
+
+
+def _larger(a: str, b: str) -> str:
+    return f"greatest({a}, {b})"
+
+
+def _spans(found: str, gaps: str, kind: int) -> Column:
     """Spans from the matches and the texts between them, both columns of the row."""
-    step = f"""aggregate(sequence(0, size({found}) - 1), named_struct('at', 0, 'out', cast(array() as {SPAN})), (s, i) -> named_struct(
-        'at', s.at + length({gaps}[i]) + length({found}[i]),
-        'out', concat(s.out, array(named_struct('start', s.at + length({gaps}[i]), 'kind', {kind}, 'end', s.at + length({gaps}[i]) + length({found}[i]))))), s -> s.out)"""
-    return F.expr(f"if({found} is null or size({found}) = 0, cast(array() as {SPAN}), {step})")
+    sizes = f"transform({found}, (m, i) -> named_struct('gap', length({gaps}[i]), 'own', length(m)))"
+    placed = _scanned(sizes, lambda x: f"{x}.gap + {x}.own", lambda a, b: f"{a} + {b}", "0")
+    spans = f"transform({placed}, p -> named_struct('start', p.before + p.x.gap, 'kind', {kind}, 'end', p.before + p.x.gap + p.x.own))"
+    return F.expr(f"if({found} is null or size({found}) = 0, cast(array() as {SPAN}), {spans})")
+
+
+def _meeting(spans: str, others: str, reach: int, meets: bool = True) -> Column:
+    """The interval join by sort and sweep: spans whose scope meets the scope of one of the others, or of none.
+
+    Ends of widened spans and starts of the others are sorted together; a span meets another
+    where the largest end among the others that start before it ends lies behind its start.
+    """
+    events = f"""sort_array(concat(
+        transform({others}, o -> named_struct('at', o.start, 'other', 1, 'start', o.start, 'kind', o.kind, 'end', o.end)),
+        transform({spans}, o -> named_struct('at', o.end + {2 * reach}, 'other', 0, 'start', o.start, 'kind', o.kind, 'end', o.end))))"""
+    never = -(1 << 30)
+    swept = _scanned(events, lambda x: f"if({x}.other = 1, {x}.end, {never})", _larger, str(never))
+    hit = f"p.before {'>' if meets else '<='} p.x.start - {2 * reach}"
+    return F.expr(f"""if(size({spans}) = 0 or size({others}) = 0, {f"cast(array() as {SPAN})" if meets else spans},
+        transform(filter({swept}, p -> p.x.other = 0 and {hit}), p -> named_struct('start', p.x.start, 'kind', p.x.kind, 'end', p.x.end)))""")
 
 
 def scan(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
     """Each row of docs with _base and _added: arrays of struct(start, kind, end) by start, then kind.
 
     kind is the place in KINDS. A null text is empty and has no spans. Added spans that
-    overlap a base span are left out. Names that start with _sec are not allowed in docs.
+    overlap a base span are left out. Columns of docs by the names _base and _added are not
+    returned, as the new ones take their place; any other column, whatever its name, is.
+    Repeated rows are scanned each; an empty table gives no rows.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    out = docs.withColumn("_sec_t", text).withColumn("_sec_hit", F.col("_sec_t").rlike(ANY_SECRET))
-    for kind, pattern in PATTERNS.items():
-        out = out.withColumn(f"_sec_m_{kind}", F.when(F.col("_sec_hit"), F.regexp_extract_all("_sec_t", F.lit(pattern), F.lit(0))))
-        out = out.withColumn(f"_sec_g_{kind}", F.when(F.col("_sec_hit") & (F.size(f"_sec_m_{kind}") > 0), F.split("_sec_t", pattern, -1)))
-    kept = [f"`{c}`" for c in docs.columns]
-    spans = [_spans("_sec_t", f"_sec_m_{k}", f"_sec_g_{k}", i).alias(f"_sec_s_{k}") for i, k in enumerate(KINDS)]
-    values = F.transform("_sec_m_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 1))).alias("_sec_v")
-    out = out.select(*kept, *spans, values)
-    # assignments of short values match, and so hide what they cover, but are dropped
-    long_ones = F.filter("_sec_s_assign", lambda s, i: F.get(F.col("_sec_v"), i) >= LEAST_VALUE)
-    out = out.withColumn("_base", F.array_sort(F.concat(F.when(F.size("_sec_s_assign") > 0, long_ones).otherwise(F.col("_sec_s_assign")), "_sec_s_access", "_sec_s_hex")))
+    kept = [c for c in docs.columns if c.lower() not in ("_base", "_added")]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    return _scan(own, reach).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "_base", "_added")
 
-    def free(spans: str) -> Column:
-        return F.filter(spans, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
+def _scan(own: DataFrame, reach: int) -> DataFrame:
+    """row, t -> row, t, _base, _added."""
+    out = own.withColumn("hit", F.col("t").rlike(ANY_SECRET))
+    for kind, pattern in PATTERNS.items():
+        out = out.withColumn(f"m_{kind}", F.when(F.col("hit"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0))))
+        out = out.withColumn(f"g_{kind}", F.when(F.col("hit") & (F.size(f"m_{kind}") > 0), F.split("t", pattern, -1)))
+    spans = [_spans(f"m_{k}", f"g_{k}", i).alias(f"s_{k}") for i, k in enumerate(KINDS)]
+    values = F.transform("m_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 1))).alias("v")
+    out = out.select("row", "t", *spans, values)
+    # assignments of short values match, and so hide what they cover, but are dropped
+    long_ones = F.filter("s_assign", lambda s, i: F.get(F.col("v"), i) >= LEAST_VALUE)
+    out = out.withColumn("_base", F.array_sort(F.concat(F.when(F.size("s_assign") > 0, long_ones).otherwise(F.col("s_assign")), "s_access", "s_hex")))
     secret = KINDS.index("assign")
-    out = out.withColumn("_sec_weak", free("_sec_s_weak_secret")).withColumn("_sec_id", free("_sec_s_identifier")).withColumn("_sec_end", free("_sec_s_endpoint"))
-    out = out.withColumn("_sec_secrets", F.concat("_sec_weak", F.filter("_base", lambda b: b["kind"] == secret)))
-    out = out.withColumn("_sec_others", F.concat("_sec_id", "_sec_end", "_sec_s_access"))
-
-    def linked(spans: str, others: str) -> Column:
-        """The interval join: spans whose scope meets the scope of one of the others."""
-        return F.filter(spans, lambda s: F.exists(others, lambda o: (o["start"] - reach < s["end"] + reach) & (s["start"] - reach < o["end"] + reach)))
-
-    added = F.array_sort(F.concat(linked("_sec_weak", "_sec_others"), linked("_sec_id", "_sec_secrets"), linked("_sec_end", "_sec_secrets")))
-    return out.select(*kept, "_base", added.alias("_added"))
+    out = out.select("row", "t", "_base", "s_access", *[_meeting(f"s_{k}", "_base", 0, meets=False).alias(k) for k in ("weak_secret", "identifier", "endpoint")])
+    out = out.withColumn("secrets", F.concat("weak_secret", F.filter("_base", lambda b: b["kind"] == secret))).withColumn("others", F.concat("identifier", "endpoint", "s_access"))
+    added = F.array_sort(F.concat(_meeting("weak_secret", "others", reach), _meeting("identifier", "secrets", reach), _meeting("endpoint", "secrets", reach)))
+    return out.select("row", "t", "_base", added.alias("_added"))
 
 
 def described(spans: Column) -> Column:
@@ -90,18 +127,22 @@ def described(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = REDACTED, reach: int = REACH, count_col: str | None = None) -> DataFrame:
     """docs with every reported span replaced by a mark, overlapping spans by one; texts without spans, null ones too, stay as they are.
 
-    count_col, if given, counts the code points of changed texts anew.
+    count_col, if given, counts the code points of changed texts anew. Columns keep their
+    names, whatever those are. Repeated rows are changed alike; an empty table gives no rows.
     """
-    out = scan(docs, text_col, reach).withColumn("_sec_all", F.array_sort(F.concat("_base", "_added")))
-    t = f"`{text_col}`"
-    cut = f"""aggregate(_sec_all, named_struct('at', 0, 'out', ''), (s, x) -> if(x.start < s.at,
-        named_struct('at', greatest(s.at, x.end), 'out', s.out),
-        named_struct('at', x.end, 'out', concat(s.out, substring({t}, s.at + 1, x.start - s.at), '{mark}'))),
-        s -> concat(s.out, substring({t}, s.at + 1)))"""
-    out = out.withColumn("_sec_new", F.expr(f"if(size(_sec_all) = 0, {t}, {cut})"))
-    counted = F.when(F.size("_sec_all") > 0, F.length("_sec_new").cast("long"))
-    new = {text_col: F.col("_sec_new")} | ({count_col: F.coalesce(counted, F.col(f"`{count_col}`"))} if count_col else {})
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    out = _scan(own, reach).withColumn("all", F.array_sort(F.concat("_base", "_added")))
+    swept = _scanned("all", lambda x: f"{x}.end", _larger, "0")
+    # a span that starts behind all ends before it opens a mark; what lies between is kept, cut from parts of the text
+    gaps = f"transform(filter({swept}, p -> p.x.start >= p.before), p -> named_struct('from', p.before, 'to', p.x.start))"
+    last = "aggregate(all, 0, (s, x) -> greatest(s, x.end))"
+    part = f"substring(parts[k], greatest(g.from - k * {PART}, 0) + 1, least(g.to - k * {PART}, {PART}) - greatest(g.from - k * {PART}, 0))"
+    piece = f"if(g.from >= g.to, '', array_join(transform(sequence(g.from div {PART}, (g.to - 1) div {PART}), k -> {part}), ''))"
+    whole = f"array_join(transform(concat({gaps}, array(named_struct('from', {last}, 'to', length(t)))), g -> {piece}), mark)"
+    cut = _let(f"regexp_extract_all(t, '(?s).{{1,{PART}}}', 0)", "parts", whole)
+    out = out.select("row", "t", "all", F.lit(mark).alias("mark")).select("row", "all", F.expr(f"if(size(all) = 0, null, {cut})").alias("new"))
+    new = {text_col: F.coalesce("new", F.col(f"row.`{text_col}`"))} | ({count_col: F.coalesce(F.length("new").cast("long"), F.col(f"row.`{count_col}`"))} if count_col else {})
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ source gives a centre and a covariance that outliers don't pull, and a text far
 centre by Mahalanobis distance is rejected.
 
 Statistics are arrays inside the row of the text, and are written once. The estimate then
-reads only those: it starts at medians and quartiles, and each concentration step refits
-mean and covariance on the nearest share of the rows. Thresholds come from counts by
+reads only those: it starts at medians and quartiles, at all rows and at two halves of them,
+and each concentration step refits mean and covariance on the nearest share of the rows.
+After a few steps the start of least determinant goes on until it settles. Thresholds come from counts by
 distance bin, sums are of whole numbers in decimals, so any order of rows gives the same
 result, and a group with a third of all rows is summed in part before it is shuffled.
 """
@@ -31,7 +32,8 @@ MOST = 25.0
 SCALE = 10_000
 #: Share of rows on which the determinant is made least.
 SHARE = 0.75
-STEPS = 3
+#: Steps that every start takes, most steps of the best of them, and the change of its log determinant that counts as none.
+STEPS, MOST_STEPS, SETTLED = 2, 4, 0.01
 #: Groups smaller than this are judged by all rows of their language, then by the whole table; a smaller table rejects nothing.
 LEAST_GROUP = 100
 #: Chance of a clean row beyond the cut, if rows were normal.
@@ -61,15 +63,29 @@ def chi2_quantile(p: float, d: int) -> float:
     return (low + high) / 2
 
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
+
+
+def _own(docs: DataFrame, text_col: str, kept: list[str], *more: Column) -> DataFrame:
+    """row, a struct of the kept columns by place, t and more: no name of docs can clash with one of ours."""
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.lit(True).alias("end"))
+    return docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"), *more)
+
+
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Each row of docs, without its text, with the base statistics of the whole text and n_lines and n_stutter.
 
-    A null text has no words. Words are runs of other than ASCII white space.
+    A null text has no words. Words are runs of other than ASCII white space. A column of
+    docs by the name of a statistic is left out.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rest = [f"`{c}`" for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c != text_col and c.lower() not in STATISTICS]
+    return _statistics(_own(docs, text_col, kept), ["row"]).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], *STATISTICS)
+
+
+def _statistics(own: DataFrame, rest: list[str]) -> DataFrame:
+    text = F.col("t")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
-    out = docs.select(*rest, words_of(text).alias("_w"), lines.alias("_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
+    out = own.select(*rest, words_of(text).alias("_w"), lines.alias("_l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
     out = out.select(
         *rest, "n_symbols", F.size("_w").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_l").cast("long").alias("n_lines"), (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
@@ -115,24 +131,25 @@ def _pools(rows: DataFrame) -> DataFrame:
 
     A pair is judged by its own rows, or by all of its language, or by the whole table: the
     first that is large enough. A pool holds all rows of its language or of the table, those
-    of large pairs too; one that judges no pair is not fitted.
+    of large pairs too; one that judges no pair, or is too small, is not fitted.
     """
     sizes = rows.groupBy("_lang", "_source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
     by = Window.partitionBy("_lang")
     sizes = sizes.withColumn("in_lang", F.sum("n").over(by)).withColumn("least", F.min("n").over(by))
     lang_used = (F.col("in_lang") >= LEAST_GROUP) & (F.col("least") < LEAST_GROUP)
-    all_used = sizes.agg(F.coalesce(F.min("in_lang") < LEAST_GROUP, F.lit(False)).alias("all_used"))
+    all_used = sizes.agg(F.coalesce((F.min("in_lang") < LEAST_GROUP) & (F.sum("n") >= LEAST_GROUP), F.lit(False)).alias("all_used"))
     own, lang, whole = F.concat_ws("|", F.lit("pair"), "_lang", "_source"), F.concat_ws("|", F.lit("lang"), "_lang"), F.lit("all")
     judge_by = F.when(F.col("n") >= LEAST_GROUP, own).when(F.col("in_lang") >= LEAST_GROUP, lang).otherwise(whole)
     fits = F.array(F.when(F.col("n") >= LEAST_GROUP, own), F.when(lang_used, lang), F.when(F.col("all_used"), whole))
     return sizes.crossJoin(F.broadcast(all_used)).select("_lang", "_source", judge_by.alias("_g"), F.array_compact(fits).alias("_fit"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _medians(rows: DataFrame) -> DataFrame:
     """_g -> m0.., s0..: medians and scaled quartile ranges, from counts by bin of 1/200."""
     width = SCALE // 200
     bins = rows.select("_g", F.posexplode(F.array(*[F.expr(f"_x{k} div {width}") for k in range(D)])).alias("k", "bin"))
-    counts = bins.groupBy("_g", "k", "bin").agg(F.count(F.lit(1)).alias("c"))
+    # as a table, so that counts of one group are summed by bin and not all in the task of the group
+    counts = written(bins.groupBy("_g", "k", "bin").agg(F.count(F.lit(1)).alias("c")), "quality-counts")
     by = Window.partitionBy("_g", "k")
     counts = counts.withColumn("up_to", F.sum("c").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(by))
     mark = lambda q: F.min(F.when(F.col("up_to") >= q * F.col("n"), F.col("bin")))
@@ -140,72 +157,118 @@ def _start(rows: DataFrame) -> DataFrame:
     out = marks.groupBy("_g").agg(*[F.max(F.when(F.col("k") == k, (F.col("q2") + 0.5) * width / SCALE)).alias(f"m{k}") for k in range(D)], *[F.max(F.when(F.col("k") == k, (F.col("q3") - F.col("q1")) * width / SCALE / 1.349)).alias(f"s{k}") for k in range(D)])
     # as a model: a diagonal covariance
     roots = [(F.sqrt(F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)]
-    return out.select("_g", *[f"m{k}" for k in range(D)], *roots)
+    return out.select("_g", F.lit(0).alias("_s"), *[f"m{k}" for k in range(D)], *roots)
 
 
-def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """rows with _d, the squared Mahalanobis distance: forward substitution with the Cholesky root."""
-    out = rows.join(model, "_g", "left")
-    for i in range(D):
-        left = F.col(f"_x{i}") / SCALE - F.col(f"m{i}")
-        for j in range(i):
-            left = left - F.col(f"l{i}{j}") * F.col(f"_y{j}")
-        out = out.withColumn(f"_y{i}", left / F.col(f"l{i}{i}"))
-    total = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, D)), F.col("_y0") * F.col("_y0"))
-    return out.withColumn("_d", total).drop(*model.columns[1:], *[f"_y{i}" for i in range(D)])
+MODEL = [*[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)]]
 
 
-def _concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One step: the model refitted on the nearest share of each group, whole bins of distance."""
-    near = _distance(rows, model).withColumn("_bin", F.least(F.floor(F.sqrt("_d") * BINS_PER_UNIT), F.lit(MOST_BIN)))
+def _sums() -> list[Column]:
     whole = lambda c: F.sum(c.cast("decimal(20,0)"))
-    sums = [whole(F.col(f"_x{i}")).alias(f"a{i}") for i in range(D)] + [whole(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"b{i}{j}") for i in range(D) for j in range(i + 1)]
-    binned = near.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("c"), *sums)
-    by = Window.partitionBy("_g")
-    binned = binned.withColumn("before", F.sum("c").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).withColumn("n", F.sum("c").over(by))
-    total = binned.where(F.col("before") < SHARE * F.col("n")).groupBy("_g").agg(F.sum("c").alias("c"), *[F.sum(f"a{i}").alias(f"a{i}") for i in range(D)], *[F.sum(f"b{i}{j}").alias(f"b{i}{j}") for i in range(D) for j in range(i + 1)])
-    grow = SHARE / chi2_cdf(chi2_quantile(SHARE, D), D + 2)
+    return [F.count(F.lit(1)).alias("c"), *[whole(F.col(f"_x{i}")).alias(f"a{i}") for i in range(D)], *[whole(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"b{i}{j}") for i in range(D) for j in range(i + 1)]]
+
+
+def _fitted(total: DataFrame, grow: float) -> DataFrame:
+    """_g, _s and sums -> the mean and the Cholesky root of the covariance, grown by a factor."""
     n = F.col("c").cast("double")
-    out = total.select("_g", *[(F.col(f"a{i}").cast("double") / n / SCALE).alias(f"m{i}") for i in range(D)], *[(F.col(f"b{i}{j}").cast("double") / n / SCALE / SCALE).alias(f"b{i}{j}") for i in range(D) for j in range(i + 1)])
+    out = total.select("_g", "_s", *[(F.col(f"a{i}").cast("double") / n / SCALE).alias(f"m{i}") for i in range(D)], *[(F.col(f"b{i}{j}").cast("double") / n / SCALE / SCALE).alias(f"b{i}{j}") for i in range(D) for j in range(i + 1)])
     for i in range(D):
         for j in range(i + 1):
             left = (F.col(f"b{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * grow + (FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 left = left - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(left, F.lit(FLOORS[i] ** 2 / 4))) if i == j else left / F.col(f"l{j}{j}"))
-    return out.select("_g", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)])
+    return out.select("_g", "_s", *MODEL)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Models to start from, by _g and _s: 0 medians and quartiles, 1 all rows, 2 and 3 halves of the rows by a hash of their values."""
+    half = F.pmod(F.xxhash64(*[f"_x{k}" for k in range(D)]), F.lit(2)).cast("int")
+    sums = rows.select("*", F.explode(F.array(F.lit(1), half + 2)).alias("_s")).groupBy("_g", "_s").agg(*_sums())
+    return _medians(rows).select("_g", "_s", *MODEL).union(_fitted(sums, 1.0))
+
+
+def _distance(rows: DataFrame, model: DataFrame, how: str = "left") -> DataFrame:
+    """rows with _d, the squared Mahalanobis distance: forward substitution with the Cholesky root. A row meets every start of its group."""
+    out = rows.join(model, "_g", how)
+    for i in range(D):
+        left = F.col(f"_x{i}") / SCALE - F.col(f"m{i}")
+        for j in range(i):
+            left = left - F.col(f"l{i}{j}") * F.col(f"_y{j}")
+        out = out.withColumn(f"_y{i}", left / F.col(f"l{i}{i}"))
+    total = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, D)), F.col("_y0") * F.col("_y0"))
+    return out.withColumn("_d", total).drop(*MODEL, *[f"_y{i}" for i in range(D)])
+
+
+def _log_det() -> Column:
+    """The logarithm of the determinant of a model's covariance."""
+    return sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(D)), F.lit(0.0))
+
+
+def _concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One step: each model refitted on the nearest share of its group, whole bins of distance."""
+    near = _distance(rows, model, "inner").withColumn("_bin", F.least(F.floor(F.sqrt("_d") * BINS_PER_UNIT), F.lit(MOST_BIN)))
+    # as a table, so that a group's sums meet by bin and not all in the task of the group
+    binned = written(near.groupBy("_g", "_s", "_bin").agg(*_sums()), "quality-bins")
+    by = Window.partitionBy("_g", "_s")
+    binned = binned.withColumn("before", F.sum("c").over(by.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).withColumn("n", F.sum("c").over(by))
+    sums = [c for c in binned.columns if c[0] in "abc" and c != "before"]
+    total = binned.where(F.col("before") < SHARE * F.col("n")).groupBy("_g", "_s").agg(*[F.sum(c).alias(c) for c in sums])
+    return _fitted(total, SHARE / chi2_cdf(chi2_quantile(SHARE, D), D + 2))
+
+
+def _estimate(fit: DataFrame) -> DataFrame:
+    """_g -> the model of least determinant that concentration steps reach from the starts.
+
+    Every start takes STEPS steps; the one of least determinant goes on until a step leaves
+    its determinant as it is, or MOST_STEPS at most.
+    """
+    model = written(_starts(fit), "quality-model")
+    for _ in range(STEPS):
+        model = written(_concentrate(fit, model), "quality-model")
+    best = model.groupBy("_g").agg(F.min_by(F.struct("_s", *MODEL), F.struct(F.round(_log_det(), 9), "_s")).alias("best"))
+    model = written(best.select("_g", "best.*"), "quality-model")
+    for _ in range(MOST_STEPS):
+        was = model.select("_g", _log_det().alias("was"))
+        model = written(_concentrate(fit, model).join(was, "_g"), "quality-model")
+        if model.where(F.abs(F.col("was") - _log_det()) > SETTLED).isEmpty():
+            break
+        model = model.drop("was")
+    return model.select("_g", *MODEL)
+
+
+def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, kept: list[str]) -> DataFrame:
+    """row (the kept columns), the statistics, base_failed, kept and _d of each row of docs."""
+    own = _own(docs, text_col, kept, group_key(F.col(f"`{lang_col}`")).alias("_lang"), group_key(F.col(f"`{source_col}`")).alias("_source"))
+    rows = _statistics(own, ["row", "_lang", "_source"]).withColumn("base_failed", _base_failed())
+    rows = written(rows.select("*", *_features()), "quality-statistics")
+    pools = written(_pools(rows), "quality-pools")
+    values = [f"_x{k}" for k in range(D)]
+    fit = rows.where(~F.col("base_failed")).select("_lang", "_source", *values).join(pools, ["_lang", "_source"]).select(F.explode("_fit").alias("_g"), *values)
+    fit = written(fit, "quality-values")
+    out = _distance(rows.join(pools.drop("_fit"), ["_lang", "_source"]), _estimate(fit))
+    far = F.coalesce(F.col("_d") > chi2_quantile(1 - TAIL, D), F.lit(False))
+    return out.select("row", *STATISTICS, "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "_d")
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_text: bool = False) -> DataFrame:
     """Each row of docs with its statistics, base_failed, kept and _distance (squared; null without a model).
 
     A null or empty text fails the base rules. Null languages and sources are groups of
-    their own. Repeated rows count as often as they stand. An empty table gives no rows.
-    The text is dropped unless keep_text. Columns of docs named as a statistic, or _x0 and
-    the like, are not allowed.
+    their own. Repeated rows count as often as they stand. Ties in distance are judged
+    alike, as a step takes whole bins of distance. An empty table gives no rows. The text is
+    dropped unless keep_text. Columns of docs named as one of the new ones are left out.
     """
-    rest = [c for c in docs.columns if c != text_col or keep_text]
-    source = docs.withColumn("_q_text", F.col(f"`{text_col}`"))
-    if not keep_text:
-        source = source.drop(text_col)
-    rows = statistics(source, "_q_text").withColumn("base_failed", _base_failed())
-    rows = rows.select("*", *_features(), group_key(F.col(f"`{lang_col}`")).alias("_lang"), group_key(F.col(f"`{source_col}`")).alias("_source"))
-    rows = written(rows, "quality-statistics")
-    pools = written(_pools(rows), "quality-pools")
-    fit = rows.select("_lang", "_source", "base_failed", *[f"_x{k}" for k in range(D)]).where(~F.col("base_failed")).join(pools, ["_lang", "_source"]).select(F.explode("_fit").alias("_g"), *[f"_x{k}" for k in range(D)])
-    large = fit.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_GROUP).select("_g")
-    model = written(_start(fit).join(large, "_g"), "quality-model")
-    for _ in range(STEPS):
-        model = written(_concentrate(fit.join(model.select("_g"), "_g", "left_semi"), model), "quality-model")
-    out = _distance(rows.join(pools.drop("_fit"), ["_lang", "_source"]), model)
-    far = F.coalesce(F.col("_d") > chi2_quantile(1 - TAIL, D), F.lit(False))
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter", "base_failed"]
-    return out.select(*[f"`{c}`" for c in rest], *names, (~F.col("base_failed") & ~far).alias("kept"), F.col("_d").alias("_distance"))
+    new = [*STATISTICS, "base_failed", "kept", "_distance"]
+    kept = [c for c in docs.columns if (c != text_col or keep_text) and c.lower() not in new]
+    out = _judged(docs, text_col, lang_col, source_col, kept)
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], *STATISTICS, "base_failed", "kept", F.col("_d").alias("_distance"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, unchanged."""
-    return judge(docs, text_col, lang_col, source_col, keep_text=True).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    """The rows of docs that the rules keep, unchanged, whatever their columns are named; as judge() has it for awkward rows."""
+    out = _judged(docs, text_col, lang_col, source_col, docs.columns).where("kept")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

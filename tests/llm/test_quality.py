@@ -54,6 +54,63 @@ def test_the_estimate_rejects_what_lies_far_off(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in rows)
 
 
+def least_determinant(x):
+    """A plain search: many random starts, exact concentration steps on the nearest rows until they stay."""
+    import numpy as np
+
+    pick, n = np.random.default_rng(1), len(x)
+    h, floors = int(np.ceil(quality.SHARE * n)), np.diag(np.array(quality.FLOORS) ** 2)
+    best = None
+    for _ in range(60):
+        own = pick.choice(n, 12, replace=False)
+        for _ in range(50):
+            mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True)
+            left = x - mean
+            d = (left @ np.linalg.inv(cov + floors) * left).sum(1)
+            new = np.argsort(d, kind="stable")[:h]
+            if set(new) == set(own):
+                break
+            own = new
+        det = np.linalg.slogdet(np.cov(x[own].T, bias=True) + floors)[1]
+        if best is None or det < best[0]:
+            best = (det, own)
+    own = x[best[1]]
+    grow = quality.SHARE / quality.chi2_cdf(quality.chi2_quantile(quality.SHARE, quality.D), quality.D + 2)
+    left = x - own.mean(0)
+    return (left @ np.linalg.inv(np.cov(own.T, bias=True) * grow + floors) * left).sum(1)
+
+
+def test_verdicts_against_a_plain_search(spark):
+    import random
+
+    import numpy as np
+
+    pick = random.Random(12)
+    rows = []
+    for i in range(400):
+        # two groups with spread statistics, a fifth of their rows far off, each in its own way
+        long, far = (3, 9) if i % 2 else (2, 6), i % 5 == 0
+        words = ["".join(pick.choices("abcdefghij", k=pick.randint(*long) * (4 if far and i % 3 == 0 else 1))) for _ in range(120)]
+        if far and i % 3 == 1:
+            words = [w + "#$%&" for w in words]
+        elif far and i % 3 == 2:
+            words = [w for w in words[:60] for _ in range(2)]
+        elif i % 7 == 0:
+            words[pick.randrange(100)] = "***"
+        lines = [" ".join(words[k : k + 12]) for k in range(0, 120, 12)]
+        rows.append((i, "\n".join(lines + lines[: pick.randint(0, 1)]), "en", f"s{i % 2}", 0))
+    got = {r.doc_id: r for r in quality.judge(plain(spark, rows)).collect()}
+    features = [f.alias(f"x{k}") for k, f in enumerate(quality._features())]
+    x = {r.doc_id: list(r[1:]) for r in quality.statistics(plain(spark, rows)).select("doc_id", *features).collect()}
+    cut = quality.chi2_quantile(1 - quality.TAIL, quality.D)
+    for source in (0, 1):
+        own = [i for i in x if i % 2 == source and not got[i].base_failed]
+        want = least_determinant(np.array([x[i] for i in own]) / quality.SCALE)
+        near = [(i, d) for i, d in zip(own, want) if not 0.8 * cut < d < 1.25 * cut]
+        assert len(near) > 0.95 * len(own) and {d > cut for _, d in near} == {True, False}
+        assert [got[i].kept for i, _ in near] == [d <= cut for _, d in near]
+
+
 def test_small_groups_are_judged_by_their_language_and_then_by_the_whole_table(spark):
     import random
 

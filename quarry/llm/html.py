@@ -139,7 +139,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], frozenset[int],
             continue
         if name in BLOCK_TAGS:
             flush()
-            if any(t == "p" for t, _ in stack[-6:]) and name not in ("button", "label", "select", "option", "optgroup"):
+            if any(t == "p" for t, _ in stack) and name not in ("button", "label", "select", "option", "optgroup"):
                 pop_to(max(k for k, (t, _) in enumerate(stack) if t == "p"))
             if name in ENDED_BY or name in ("tbody", "thead", "tfoot", "optgroup"):
                 for place in range(len(stack) - 1, -1, -1):
@@ -169,7 +169,7 @@ def vectors(page: list) -> np.ndarray:
         row[PATH_BITS + WORD_BITS :] = (
             np.log1p(n) / 8, np.log1p(len(words)) / 6, links, depth / 10, (k + 1) / len(page), np.log1p(len(page)) / 5,
             sum(map(text.count, ".,;:!?")) / n * 10, text[-1] in ".!?\u2026\"'", tags[-1:] in (("h1",), ("h2",), ("h3",), ("h4",)) if tags else 0.0,
-            sum(c.isdigit() for c in text[:200]) / min(n, 200), "\u00a9" in text or "(c)" in text, any(t in ("li", "td", "th", "option", "button", "label") for t in tags[-3:]),
+            sum(map(str.isdigit, text)) / n, "\u00a9" in text or "(c)" in text, any(t in ("li", "td", "th", "option", "button", "label") for t in tags[-3:]),
         )
     return x
 
@@ -239,7 +239,8 @@ def extract(pages: DataFrame, html_col: str = "html", model: str = MODEL) -> Dat
 
     A null or empty page, and one without article blocks, has an empty text. Character
     references are decoded, white space inside a block is one space, blocks are joined by
-    one line feed. Truncated and mismatched markup is read as far as it goes.
+    one line feed. Truncated and mismatched markup is read as far as it goes. Repeated rows
+    are read each; an empty table gives no rows. A column of pages named _text is left out.
     """
     weights = load_model(model)
 
@@ -248,7 +249,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: str = MODEL) -> Dat
         for batch in batches:
             yield pd.Series(texts(batch.tolist(), weights), dtype=object)
 
-    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != html_col], text_of(F.col(f"`{html_col}`")).alias("_text"))
+    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != html_col and c.lower() != "_text"], text_of(F.col(f"`{html_col}`")).alias("_text"))
 
 
 def op10_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Texts in which every rule finds something, made of the stored ones.
 DERIVED = """CASE row_id % 13
  WHEN 0 THEN 'List of Figures' || chr(10) || text
- WHEN 1 THEN 'Contents' || chr(10) || 'Intro ..... 3' || chr(10) || 'Methods ..... 14' || chr(10) || 'Results .... xii' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c   7'
+ WHEN 1 THEN 'Contents' || chr(10) || 'Intro ..... 3' || chr(10) || 'Methods ..... 14' || chr(10) || 'Results .... xii' || chr(10) || 'a' || chr(10) || 'b' || chr(10) || 'c   7' || chr(10) || text
  WHEN 2 THEN 'Appendix A' || chr(10) || text
  WHEN 3 THEN '# Appendix B' || chr(10) || text
  WHEN 4 THEN text || chr(10) || '6 References:' || chr(10) || 'Doe 2019'
@@ -49,11 +49,13 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The stored vector of id 7 as the question's."""
-    return read(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()[0]
+    found = read(spark, sf_dir, "embeddings").where("vec_id = 7").select("embedding").first()
+    return found[0] if found else []
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> list[str]:
     """Terms of the first benchmark text as the question's."""
     from quarry.functions import text as T
 
-    return read(spark, sf_dir, "benchmark").where("item_id = 0").select(F.array_distinct(T.search_tokens(F.col("text")))).first()[0]
+    found = read(spark, sf_dir, "benchmark").where("item_id = 0").select(F.array_distinct(T.search_tokens(F.col("text")))).first()
+    return found[0] if found else []

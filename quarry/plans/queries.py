@@ -238,12 +238,12 @@ def markdown_normalize(spark, sf_dir):
 DOI = "regexp_replace(regexp_extract(text, '\\b(10\\.\\d{4,}/[^\\s]+)', 1), '[.,;:\\]\\)>]+$', '')"
 
 
-@query(f"WITH {I.DERIVED_SQL} SELECT row_id, {DOI} AS doi FROM p WHERE row_id % 13 IN (7, 8)")
+@query(f"WITH {I.DERIVED_SQL} SELECT row_id, {DOI} AS doi FROM p")
 def doi_extract(spark, sf_dir):
     return I.derived(spark, sf_dir).select("row_id", T.extract_doi(F.col("text")).alias("doi"))
 
 
-@query(f"WITH {I.DERIVED_SQL}, d AS (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'http://x/' ELSE '' END || {DOI} AS doi FROM p WHERE row_id % 13 = 8) SELECT row_id, CASE WHEN starts_with(doi, 'http') THEN doi ELSE 'https://doi.org/' || doi END AS link FROM d")
+@query(f"WITH {I.DERIVED_SQL}, d AS (SELECT row_id, {DOI} AS doi FROM p) SELECT row_id, CASE WHEN doi = '' THEN '' WHEN row_id % 2 = 0 THEN 'http://x/' || doi ELSE 'https://doi.org/' || doi END AS link FROM d")
 def doi_link(spark, sf_dir):
     doi = T.extract_doi(F.col("text"))
     doi = F.when(doi != "", F.concat(F.when(F.col("row_id") % 2 == 0, "http://x/").otherwise(""), doi)).otherwise(doi)

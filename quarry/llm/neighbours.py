@@ -12,7 +12,7 @@ Equal vectors are one class with the smallest of its ids, as many as a result ca
 a vector with a third of all rows is searched once. Chunks of buckets are dealt to tasks of a
 bounded number of vectors and of queries; each returns its best by exact inner product and then
 by smallest id, and those are merged by query. A query that found too little goes through all chunks.
-Few vectors are one bucket, which is exact.
+`rho` comes from a bounded sample of cosines, as the nearest of few vectors are further off.
 """
 
 from __future__ import annotations
@@ -25,20 +25,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, written
+from quarry.llm.common import bounded, table, written
 
 TABLES = 4
 #: Width of a cell in standard deviations of a projection.
 WIDTH = 1.2
-#: Cosine (after the added component) of neighbours to be found; nearer ones are found more often.
-RHO = 0.4
+#: Vectors, and queries among them, of the sample that tells the usual cosine of the last neighbour asked for.
+SAMPLE, SAMPLE_QUERIES = 4096, 128
 #: Chance of a neighbour in the buckets that a query visits in one table.
 SUCCESS = 0.6
 #: Classes of a bucket to aim at; projections are added as the input grows, up to MOST_K.
 PER_BUCKET = 1024
 MOST_K = 7
-#: Up to so many classes make one bucket.
-SMALL = 4096
+#: Cells of a table that a query weighs; where they don't reach `success`, the query goes through all chunks.
+CELLS = 20_000
 #: Vectors of a bucket that stay together, vectors of a task, and queries of a task.
 CHUNK, PER_TASK, QUERIES_PER_TASK = 4096, 16_384, 8192
 SEED = 7
@@ -76,8 +76,24 @@ def _phi(x: np.ndarray) -> np.ndarray:
     return np.interp(x, _GRID, _NORMAL)
 
 
-def probes(point: np.ndarray, a: np.ndarray, b: np.ndarray, rho: float, success: float) -> list[int]:
-    """Buckets of all tables to visit, in descending chance within a table."""
+def usual_cosine(sample: np.ndarray, total: int, top: int) -> float:
+    """The cosine that the last of the `top` nearest of `total` vectors usually has with a query.
+
+    Cosines within the sample (rows of norm 1) have a mean and a spread; the last neighbour
+    stands where a normal distribution leaves top of total above it. With clusters the real
+    neighbours are nearer than that, and are found more often.
+    """
+    asks = sample[:SAMPLE_QUERIES]
+    cosines = asks @ sample.T
+    cosines = cosines[~np.eye(len(asks), len(sample), dtype=bool)]
+    if not len(cosines):
+        return 0.5
+    beyond = float(np.interp(max(0.5, 1 - top / max(total, 1)), _NORMAL[8000:], _GRID[8000:]))
+    return float(np.clip(cosines.mean() + beyond * cosines.std(), 0.05, 0.95))
+
+
+def probes(point: np.ndarray, a: np.ndarray, b: np.ndarray, rho: float, success: float) -> list[int] | None:
+    """Buckets of all tables to visit, in descending chance within a table; None where CELLS cells of a table don't reach `success`."""
     found = []
     spread = math.sqrt(1 - rho * rho)
     for t in range(len(a)):
@@ -91,9 +107,12 @@ def probes(point: np.ndarray, a: np.ndarray, b: np.ndarray, rho: float, success:
             p = np.diff(edge)
             chance = (chance[:, None] * p[None, :]).reshape(-1)
             cells = np.concatenate((np.repeat(cells, len(own), axis=0), np.tile(own, len(cells))[:, None]), axis=1)
-            keep = np.argsort(-chance, kind="stable")[:20_000]
+            keep = np.argsort(-chance, kind="stable")[:CELLS]
             chance, cells = chance[keep], cells[keep]
-        some = int(np.searchsorted(np.cumsum(chance), success)) + 1
+        reached = np.cumsum(chance)
+        if reached[-1] < success:
+            return None
+        some = int(np.searchsorted(reached, success)) + 1
         found += _codes(np.clip(cells[:some], -128, 127), t).tolist()
     return found
 
@@ -154,18 +173,24 @@ def _best(members: pd.DataFrame, top: int) -> pd.DataFrame:
     return pd.DataFrame({"q": np.concatenate(out_q), "cls": np.concatenate(out_c), "score": np.concatenate(out_s)})
 
 
+#: Stands for all buckets; no bucket has it as its code.
+EVERYWHERE = -1
 FOUND = "q long, cls long, score double"
 
 
-def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rho: float = RHO, success: float = SUCCESS) -> DataFrame:
+def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", rho: float | None = None, success: float = SUCCESS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the nearest by inner product of every row whose id is divisible by `every`.
 
     Rows without an id, and vectors that are null, empty, zero, or hold null or non-finite
     components take no part; neither do vectors of another length than most. Rows of one id
     and vector count once; a query never returns its own id. Ties go to the smaller id. Where
-    fewer than `top` others exist, all are returned. An empty table gives no rows.
+    fewer than `top` others exist, all are returned. An empty table gives no rows. rho: the
+    cosine (after the added component) of neighbours to be found with a chance of `success`
+    in each table; without it, that of a sample of about SAMPLE vectors. With a success of 1
+    every query goes through all vectors, and the result is exact.
     """
     spark = vectors.sparkSession
+    bounded(spark)
     parts = written(classes_of(vectors, id_col, vec_col, top + 1, every), "vectors")
     length = parts.groupBy(F.octet_length("vec").alias("n")).agg(F.sum(F.size("ids")).alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
     if not length:
@@ -177,10 +202,14 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "v
     asked = parts.select("cls", F.explode("asked").alias("query_id")).distinct()
     n, most = classes.agg(F.count(F.lit(1)), F.max("norm")).first()
     dim = length[0].n // 8
-    k = 0 if n <= SMALL else max(1, min(MOST_K, round(math.log(n / PER_BUCKET) / math.log(3))))
+    k = max(1, min(MOST_K, round(math.log(n / PER_BUCKET) / math.log(3))))
     a, b = projections(dim + 1, k)
-    if not k:
-        a, b = a[:1], b[:1]
+    if rho is None:
+        # one of so many classes that about SAMPLE come, whatever the input
+        some = classes.where(F.pmod(F.xxhash64("cls"), F.lit(-(-n // SAMPLE))) == 0).select("cls", "vec").collect()
+        sample = _numbers(pd.Series([bytes(r.vec) for r in sorted(some)] or [bytes(classes.select("vec").first().vec)]))
+        # candidates are scaled to the largest norm and get one more component, queries are of norm 1
+        rho = usual_cosine(sample / np.linalg.norm(sample, axis=1, keepdims=True), n, top) * float(np.linalg.norm(sample, axis=1).mean() / most)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,20 +224,21 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, id_col: str = "v
         for batch in batches:
             x = _numbers(batch["vec"])
             for cls, v in zip(batch["cls"], x):
-                found = list(dict.fromkeys(probes(np.append(v / np.linalg.norm(v), 0.0), a, b, rho, success)))
-                yield pd.DataFrame({"bucket": np.array(found, np.int64), "cls": cls})
+                found = probes(np.append(v / np.linalg.norm(v), 0.0), a, b, rho, success)
+                yield pd.DataFrame({"bucket": np.array([EVERYWHERE] if found is None else list(dict.fromkeys(found)), np.int64), "cls": cls})
 
     queries = classes.where("asked").select("cls", "vec")
     least = F.col("ids")[0].alias("least")
     index = classes.select("cls", least, "vec").mapInPandas(place, "bucket long, cls long, least long, vec binary")
-    visits = queries.mapInPandas(visit, "bucket long, cls long")
+    visits = written(queries.mapInPandas(visit, "bucket long, cls long"), "visits")
     result = written(_met(index, n * len(a), visits, queries, top + 1), "found")
 
     ready = result.join(classes.select("cls", "ids"), "cls").groupBy("q").agg(F.sum(F.size("ids")).alias("n"))
     # what can be found at all: ids of all classes, the query's own left out
     total = classes.agg(F.sum(F.size("ids"))).first()[0]
     short = queries.join(ready.withColumnRenamed("q", "cls"), "cls", "left").where(F.coalesce("n", F.lit(0)) < min(top + 1, total)).select("cls", "vec")
-    if k and not short.isEmpty():
+    short = written(short.union(visits.where(F.col("bucket") == EVERYWHERE).select("cls").join(queries, "cls")).dropDuplicates(["cls"]), "unfinished")
+    if not short.isEmpty():
         chunks = -(-n // CHUNK)
         everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("bucket"), "cls")
         rest = classes.select(F.pmod(F.xxhash64("cls"), F.lit(chunks)).alias("bucket"), "cls", least, "vec")

@@ -39,6 +39,8 @@ LEAST_GROUP = 100
 #: Chance of a clean row beyond the cut, if rows were normal.
 TAIL = 1e-5
 BINS_PER_UNIT, MOST_BIN = 16, 4096
+#: Pairs of language and source up to which models and pools (about 300 bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 50_000
 
 
 def chi2_cdf(x: float, d: int) -> float:
@@ -217,20 +219,20 @@ def _concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
     return _fitted(total, SHARE / chi2_cdf(chi2_quantile(SHARE, D), D + 2))
 
 
-def _estimate(fit: DataFrame) -> DataFrame:
-    """_g -> the model of least determinant that concentration steps reach from the starts.
+def _estimate(fit: DataFrame, sent) -> DataFrame:
+    """_g -> the model of least determinant that concentration steps reach from the starts; sent: how a model comes to the rows.
 
     Every start takes STEPS steps; the one of least determinant goes on until a step leaves
     its determinant as it is, or MOST_STEPS at most.
     """
     model = written(_starts(fit), "quality-model")
     for _ in range(STEPS):
-        model = written(_concentrate(fit, model), "quality-model")
+        model = written(_concentrate(fit, sent(model)), "quality-model")
     best = model.groupBy("_g").agg(F.min_by(F.struct("_s", *MODEL), F.struct(F.round(_log_det(), 9), "_s")).alias("best"))
     model = written(best.select("_g", "best.*"), "quality-model")
     for _ in range(MOST_STEPS):
         was = model.select("_g", _log_det().alias("was"))
-        model = written(_concentrate(fit, model).join(was, "_g"), "quality-model")
+        model = written(_concentrate(fit, sent(model)).join(was, "_g"), "quality-model")
         if model.where(F.abs(F.col("was") - _log_det()) > SETTLED).isEmpty():
             break
         model = model.drop("was")
@@ -243,10 +245,12 @@ def _judged(docs: DataFrame, text_col: str, lang_col: str, source_col: str, kept
     rows = _statistics(own, ["row", "_lang", "_source"]).withColumn("base_failed", _base_failed())
     rows = written(rows.select("*", *_features()), "quality-statistics")
     pools = written(_pools(rows), "quality-pools")
+    # a table of few rows in many files looks large to the planner, so that their number decides
+    sent = F.broadcast if pools.count() <= MOST_BROADCAST else lambda df: df
     values = [f"_x{k}" for k in range(D)]
-    fit = rows.where(~F.col("base_failed")).select("_lang", "_source", *values).join(pools, ["_lang", "_source"]).select(F.explode("_fit").alias("_g"), *values)
+    fit = rows.where(~F.col("base_failed")).select("_lang", "_source", *values).join(sent(pools), ["_lang", "_source"]).select(F.explode("_fit").alias("_g"), *values)
     fit = written(fit, "quality-values")
-    out = _distance(rows.join(pools.drop("_fit"), ["_lang", "_source"]), _estimate(fit))
+    out = _distance(rows.join(sent(pools.drop("_fit")), ["_lang", "_source"]), sent(_estimate(fit, sent)))
     far = F.coalesce(F.col("_d") > chi2_quantile(1 - TAIL, D), F.lit(False))
     return out.select("row", *STATISTICS, "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "_d")
 

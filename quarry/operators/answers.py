@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import models, retrieval
 
 CITATION = r"(?iU)\[([^,\]]+),\s*Page\s+\d+\]"
 
@@ -34,6 +37,31 @@ def error_message(message: Column) -> Column:
     return F.when(has("429", "quota"), "quota exceeded").when(has("503"), "service unavailable").when(has("404"), "model not found").otherwise("unexpected error")
 
 
+def answered(questions: DataFrame, maker: Callable, attempts: int = 1, wait: float = 65.0) -> DataFrame:
+    """query_id, question, context -> with answer, or, where the call fails, what a user is told of it."""
+    rows = questions.withColumn("_r", models.generate(prompt(F.col("question"), F.col("context")), maker, attempts, wait))
+    return rows.withColumn("answer", F.when(F.col("_r.error").isNull(), F.col("_r.answer")).otherwise(error_message(F.col("_r.error")))).drop("_r")
+
+
+def expanded(questions: DataFrame, maker: Callable) -> DataFrame:
+    """query_id, question -> with search_query: the keywords a service names, or the question where it fails or names none."""
+    rows = questions.withColumn("_r", models.generate(F.col("question"), maker))
+    return rows.withColumn("search_query", search_query(F.col("question"), F.col("_r.answer"))).drop("_r")
+
+
+def answer_question(chunks: DataFrame, question: str, maker: Callable, encode: Callable, k: int = 4) -> str | None:
+    """The answer to one question from the k nearest chunks; None for a blank question or where there are no chunks."""
+    if not question.strip():
+        return None
+    vector = encode()([question])[0][0]
+    near = retrieval.dense(chunks, vector, k)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("distance", "id"))  # k rows
+    hits = near.withColumn("rank", place).join(chunks.drop("embedding"), "id").withColumn("query_id", F.lit(0))
+    asked = contexts(hits).withColumn("question", F.lit(question))
+    found = answered(asked, maker).select("answer").first()
+    return found[0] if found else None
+
+
 def search_query(question: Column, expanded: Column) -> Column:
     """The expanded keywords, or the question itself."""
     return F.coalesce(F.nullif(T.strip(expanded), F.lit("")), question)

@@ -23,6 +23,8 @@ BAD_START = (
 )
 BAD_END = r"(?iU)\b(a|o|as|os|um|uma|de|da|do|das|dos|em|na|no|nas|nos|por|para|com|se|que|e|ou|à|às|of|the|and|or|in|on|at|to|for|with|by|from|is|are)\s*$"
 NOTE_START = r"(?U)^\s*(\(?\d+\)?|[\*\†\‡])[\.\)\s]\s*[A-ZÀ-Úa-z]"
+NUMBERED_TITLE, CAPITALS = r"(?U)^\d+(\.\d+)*\s+", r"(?U)^[A-ZÀ-Ü\s\-]{4,}$"
+PREAMBLE = "Introduction/Preamble"
 FIGURE = r"(?iU)\b(Figure|Fig\.|Figura|FIGURE|Table|Tabela|TABLE)\s*\d+"
 
 
@@ -104,6 +106,28 @@ def read_pages(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", "page_num", marked.alias("text"), F.coalesce("footnotes", F.lit("")).alias("footnotes"))
 
 
+def is_header(text: Column, size: Column, bold: Column, body_size: Column) -> Column:
+    """Larger than the body and no sentence, or numbered, or bold capitals; not long."""
+    n, numbered = F.length(text), text.rlike(NUMBERED_TITLE)
+    large = (size > body_size + 0.5) & (n < 150) & (numbered | ~T.strip(text).rlike("[.:;]$"))
+    return large | ((n < 100) & (numbered | (bold & text.rlike(CAPITALS))))
+
+
+def sections_by_headers(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, page_num, line_no, text, size, is_bold, body_size) -> doc_id, section_no (from 0), title, text, page_num.
+
+    Lines before the first header are a preamble; a header without lines vanishes; a null size or weight marks no header.
+    """
+    order = Window.partitionBy("doc_id").orderBy("page_num", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.coalesce(is_header(F.col("text"), F.col("size"), F.coalesce("is_bold", F.lit(False)), F.col("body_size")), F.lit(False))
+    rows = lines.withColumn("_opens", opens).withColumn("_island", F.sum(F.col("_opens").cast("long")).over(order))
+    place = F.struct("page_num", "line_no", "text")
+    found = rows.groupBy("doc_id", "_island").agg(F.max(F.when(F.col("_opens"), F.col("text"))).alias("title"), F.array_sort(F.collect_list(F.when(~F.col("_opens"), place))).alias("l"), F.min("page_num").alias("page_num"))
+    text = T.normalize_layout(F.array_join(F.transform("l", lambda x: x["text"]), " "))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_island")) - 1
+    return found.where(F.size("l") > 0).select("doc_id", number.alias("section_no"), F.coalesce("title", F.lit(PREAMBLE)).alias("title"), text.alias("text"), "page_num")
+
+
 def captions(lines: DataFrame) -> DataFrame:
     """doc_id, page_num, caption: figure lines of the lower 60 % of a page and the lines that go on with them, five at most."""
     own = F.struct("block_no", "line_no", F.array_join(F.transform("spans", lambda s: s["text"]), "").alias("t"))

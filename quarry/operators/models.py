@@ -60,6 +60,52 @@ def embed(chunks: DataFrame, text: Column, maker: Callable = hashing_embedder) -
     return chunks.withColumn("_e", run(text)).select("*", F.col("_e.dense").alias("embedding_dense"), F.col("_e.sparse").alias("embedding_sparse")).drop("_e")
 
 
+VECTORS = "array<struct<dense:array<float>,sparse:map<string,double>>>"
+
+
+def embed_documents(documents: DataFrame, profile: Profile = LAYOUT, maker: Callable = hashing_embedder) -> DataFrame:
+    """Documents (chunks: array of structs with text, section, type and perhaps caption) with embedding_dense and embedding_sparse in every chunk.
+
+    The layout profile leaves documents without chunks out; the others keep them as they are. Nothing is shuffled.
+    """
+    from quarry.functions import text as T
+
+    fields = documents.schema["chunks"].dataType.elementType.names
+    get = lambda c, f: c[f] if f in fields else F.lit(None).cast("string")
+
+    @F.pandas_udf(VECTORS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = loaded(maker)
+        for batch in batches:
+            yield batch.map(lambda texts: [{"dense": d, "sparse": s} for d, s in model([t or "" for t in texts])])
+
+    chunks = F.coalesce("chunks", F.array().cast(documents.schema["chunks"].dataType))
+    rows = documents.withColumn("chunks", chunks)
+    rows = rows.where(F.size("chunks") > 0) if profile.name == "layout" else rows
+    texts = F.transform("chunks", lambda c: T.enriched(c["text"], get(c, "section"), F.coalesce(get(c, "type"), F.lit("body")), get(c, "caption"), profile.name))
+    own = [f for f in fields if f not in ("embedding_dense", "embedding_sparse")]
+    both = F.zip_with("chunks", "_v", lambda c, v: F.struct(*[c[f].alias(f) for f in own], v["dense"].alias("embedding_dense"), v["sparse"].alias("embedding_sparse")))
+    return rows.withColumn("_v", run(texts)).withColumn("chunks", both).drop("_v")
+
+
+def generate(prompts: Column, maker: Callable, attempts: int = 1, wait: float = 65.0) -> Column:
+    """Struct of answer and error: what a service says to each prompt, or the message of what went wrong after so many attempts."""
+
+    @F.pandas_udf("struct<answer:string,error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        call = with_retry(loaded(maker), attempts, wait)
+        for batch in batches:
+            rows = []
+            for text in batch:
+                try:
+                    rows.append((call(text), None))
+                except Exception as e:  # one question does not stop the others
+                    rows.append((None, str(e)))
+            yield pd.DataFrame(rows, columns=["answer", "error"], dtype=object)
+
+    return run(prompts)
+
+
 def parse(files: DataFrame, maker: Callable) -> DataFrame:
     """Files (filename, content) -> doc_id, page_num (from 1), text, error. A file that fails gives one row with the error."""
 
@@ -71,7 +117,7 @@ def parse(files: DataFrame, maker: Callable) -> DataFrame:
                 try:
                     rows += [(name, k + 1, t, None) for k, t in enumerate(parser(content))]
                 except Exception as e:  # one file does not stop the others
-                    rows.append((name, None, None, str(e)[:500]))
+                    rows.append((name, None, None, str(e)))
             yield pd.DataFrame({"doc_id": [r[0] for r in rows], "page_num": pd.array([r[1] for r in rows], "Int32"), "text": [r[2] for r in rows], "error": [r[3] for r in rows]})
 
     return files.select("filename", "content").mapInPandas(run, "doc_id string, page_num int, text string, error string")
@@ -103,7 +149,7 @@ def describe(images: DataFrame, pages: DataFrame, maker: Callable) -> DataFrame:
 
 
 def with_retry(call: Callable, attempts: int = 5, wait: float = 65.0, sleep: Callable = time.sleep) -> Callable:
-    """call, tried again after a wait where it fails; the last failure is raised. For the driver only."""
+    """call, tried again after a wait where it fails; the last failure is raised."""
 
     def run(*args, **kwargs):
         for k in range(attempts):
@@ -135,8 +181,8 @@ def _apart(pages: DataFrame) -> DataFrame:
     return pages.withColumn("doc_id", F.concat("doc_id", F.lit("")))
 
 
-def process(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
-    """Pages of documents -> their body chunks: classify, filter pages by kind, normalise, cut into sections and chunks, in one plan."""
+def cleaned(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
+    """Pages of documents, classified, filtered by kind and normalised; further columns are kept."""
     from quarry.functions import text as T
 
     kinds = P.classify(pages, profile).select("doc_id", "document_type")
@@ -151,4 +197,38 @@ def process(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
         clean = clean.withColumn("text", T.normalize_layout(F.col("text")))
     else:
         clean = P.strip_repeated_lines(body, profile).unionByName(scans).withColumn("text", T.normalize_markdown(F.col("text")))
-    return S.chunk_sections(S.split_sections(clean, profile), profile)
+    return clean
+
+
+def process(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
+    """Pages of documents -> their body chunks: classify, filter pages by kind, normalise, cut into sections and chunks, in one plan."""
+    return S.chunk_sections(S.split_sections(cleaned(pages, profile), profile), profile)
+
+
+def _listed(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """doc_id and the other columns of its rows as one array; that a document is one row is the format's."""
+    fields = [c for c in rows.columns if c != "doc_id"]
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), F.struct(*fields).alias("v"))))
+    return rows.groupBy("doc_id").agg(F.transform(sorted_, lambda x: x["v"]).alias(name))
+
+
+def process_documents(pages: DataFrame, files: DataFrame, profile: Profile = LAYOUT, figures: DataFrame | None = None) -> DataFrame:
+    """Pages (doc_id, page_num, text, footnotes) and files -> one row a document: doc_id, metadata, document_type, chunks, footnote_chunks, image_chunks.
+
+    Notes are those of the pages that the filters keep. figures are rows as describe() gives them.
+    """
+    from quarry.sources import store
+
+    clean = cleaned(pages, profile)
+    body = _listed(S.chunk_sections(S.split_sections(clean, profile), profile), ["chunk_id"], "chunks")
+    note = F.when(F.trim(F.coalesce("footnotes", F.lit(""))) != "", F.struct("page_num", F.trim("footnotes").alias("t")))
+    notes = clean.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["t"]), "\n\n").alias("footnotes"))
+    rows = S.footnote_chunks(notes, profile)
+    rows = _listed(rows, [F.split("chunk_id", "_")[1].cast("int"), F.coalesce(F.get(F.split("chunk_id", "_"), F.lit(2)).cast("int"), F.lit(0))], "footnote_chunks")
+    meta = store.metadata_of(pages, files)
+    out = meta.select("doc_id", F.struct(*[c for c in meta.columns if c != "doc_id"]).alias("metadata")).join(P.classify(pages, profile).select("doc_id", "document_type"), "doc_id")
+    parts = [body, rows] + ([_listed(figures, ["page_num", "chunk_id"], "image_chunks")] if figures is not None else [])
+    for part in parts:
+        name = part.columns[1]
+        out = out.join(part, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import answers, evaluation, layout, models, pages, retrieval, sections
+from quarry.operators import answers, evaluation, index, layout, models, pages, retrieval, sections
 from quarry.plans import inputs as I
 from quarry.profiles import APPENDIX_LAYOUT, APPENDIX_MARKDOWN, FRONT_MATTER_LAYOUT, KEYWORDS_LAYOUT, LAYOUT, MARKDOWN, MULTIMODAL, REFERENCES_LAYOUT, REFERENCES_MARKDOWN, TOC_HEADERS
 from quarry.sources import store
@@ -85,6 +85,30 @@ def keyword_batch(spark, sf_dir):
     return retrieval.keyword_all(docs, I.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 4)
 
 
+@query()
+def indexed_topk(spark, sf_dir):
+    """The ten nearest to the stored vector of id 7, found in the 16 nearest cells of the index."""
+    rows, vector = I.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), I.query_vector(spark, sf_dir)
+    model = index.learn(rows, len(vector))
+    return index.search(index.assign(rows, model, len(vector)), model, vector, 10)
+
+
+@query(f"WITH {DENSE_SQL} SELECT id, distance FROM d ORDER BY distance, id LIMIT 10")
+def indexed_exact(spark, sf_dir):
+    """The same with every cell probed."""
+    rows, vector = I.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), I.query_vector(spark, sf_dir)
+    model = index.learn(rows, len(vector))
+    return index.search(index.assign(rows, model, len(vector)), model, vector, 10, model.summary.k).select("id", "distance")
+
+
+@query("SELECT source AS doc_id, count(*) AS chunks, count(*) AS embedded FROM documents GROUP BY source")
+def embedded_documents(spark, sf_dir):
+    """Chunks of each source as a document, encoded; how many have a vector of the encoder's length."""
+    docs = I.read(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc_id")).agg(F.collect_list(F.struct("doc_id", "text", F.col("lang").alias("section"), F.lit("body").alias("type"))).alias("chunks"))
+    out = models.embed_documents(docs)
+    return out.select("doc_id", F.size("chunks").cast("long").alias("chunks"), F.size(F.filter("chunks", lambda c: F.size(c["embedding_dense"]) == 64)).cast("long").alias("embedded"))
+
+
 @query("SELECT item_id, array_to_string(list_filter(regexp_split_to_array(replace(text, '''', ''), '\\s+'), lambda w: w <> ''), ' | ') AS or_query FROM benchmark")
 def lexical_query(spark, sf_dir):
     return I.read(spark, sf_dir, "benchmark").select("item_id", T.or_query(F.col("text")).alias("or_query"))
@@ -256,7 +280,8 @@ def source_names(spark, sf_dir):
     return I.read(spark, sf_dir, "documents").select("doc_id", T.source_name(name).alias("name"), T.source_name(name, True).alias("spaced"))
 
 
-@query()
+@query(f"""WITH {LINE_ROWS}, t AS (SELECT *, trim(line, ' ' || chr(9)) AS t FROM e) SELECT row_id, line_no, line FROM t WHERE length(t) BETWEEN 1 AND 120 AND len({WORDS.format('t')}) <= 12 AND NOT contains(t, ',') AND NOT ends_with(t, '.')
+AND (regexp_matches(t, '^\\d+(\\.\\d+)*\\s+') OR regexp_matches(t, '^[A-ZÀ-Ü\\s-]{{4,}}$') OR array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') = t)""")
 def section_titles(spark, sf_dir):
     return line_rows(spark, sf_dir).where(T.is_section_title(F.col("line")))
 
@@ -341,6 +366,14 @@ def process_pages(spark, sf_dir):
     return models.process(I.derived(spark, sf_dir).select("doc_id", "page_num", "text"), MULTIMODAL)
 
 
+@query()
+def process_documents(spark, sf_dir):
+    """Every source as one document with metadata, kind, chunks and notes."""
+    rows = I.derived(spark, sf_dir).select("doc_id", "page_num", "text", F.when(F.col("row_id") % 10 == 0, F.concat(F.lit("1. Note of page "), "page_num")).otherwise("").alias("footnotes"))
+    files = rows.select("doc_id").distinct().select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("filename"), F.concat(F.lit("data/"), "doc_id", F.lit(".pdf")).alias("filepath"), F.lit("").alias("title"), F.lit("").alias("author"))
+    return models.process_documents(rows, files, LAYOUT)
+
+
 # --- chunk table ---
 
 
@@ -464,21 +497,49 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_ids(spark, sf_dir).select("doc_id", F.col("chunk_id").alias("id"), "text")
 
 
-@query()
+#: Words that carry weight, and pairs of neighbours among them, in the oracle.
+GRAMS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) >= 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in evaluation.STOP_WORDS) + "], w))"
+PAIRS = "list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+BOUNDARY_SQL = f"""wc AS (SELECT source AS doc_id, doc_id AS page_num, {WORDS.format('text')} AS w FROM documents), cc AS (SELECT doc_id, page_num, unnest(range(0, len(w), 250)) AS s, w FROM wc WHERE len(w) > 0),
+ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, s) - 1 AS id, w[s + 1 : s + 300] AS w FROM cc), ed AS (SELECT doc_id, id, w[-40:] AS a, lead(w[1:40]) OVER (PARTITION BY doc_id ORDER BY id) AS b FROM ch),
+bt AS (SELECT doc_id, id, 0 AS side, unnest({GRAMS.format("array_to_string(a, ' ')")}) AS term FROM ed WHERE b IS NOT NULL UNION ALL SELECT doc_id, id, 1, unnest({GRAMS.format("array_to_string(b, ' ')")}) FROM ed WHERE b IS NOT NULL),
+bp AS (SELECT doc_id, id, term, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM bt GROUP BY ALL), bw AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 1 ELSE ln(1.5) + 1 END AS i FROM bp),
+bs AS (SELECT doc_id, id, sum(a * b * i * i) / nullif(sqrt(sum(a * a * i * i)) * sqrt(sum(b * b * i * i)), 0) AS v FROM bw GROUP BY ALL),
+boundary AS (SELECT ed.doc_id, ed.id, coalesce(v, 0) AS similarity FROM ed LEFT JOIN bs ON ed.doc_id = bs.doc_id AND ed.id = bs.id WHERE ed.b IS NOT NULL)"""
+COHERENCE_SQL = f"""se AS (SELECT doc_id AS chunk, list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 30) AS l FROM documents), st AS (SELECT chunk, len(l) AS n, generate_subscripts(l, 1) AS id, unnest(l) AS text FROM se WHERE len(l) >= 2),
+sg AS (SELECT chunk, n, id, unnest({GRAMS.format('text')}) AS term FROM st), sc AS (SELECT chunk, n, id, term, count(*) AS tf FROM sg GROUP BY ALL), sw AS (SELECT chunk, n, id, term, tf * (ln((1 + n) / (1 + count(*) OVER (PARTITION BY chunk, term))) + 1) AS w FROM sc),
+su AS (SELECT chunk, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY chunk, id)) AS w FROM sw), sq AS (SELECT chunk, sum(w) AS w, sum(w * w) AS own FROM su GROUP BY chunk, term), sv AS (SELECT chunk, sum(w * w) - sum(own) AS v FROM sq GROUP BY chunk),
+coherence AS (SELECT se.chunk AS id, coalesce(v, 0) / (len(l) * (len(l) - 1)) AS coherence FROM se LEFT JOIN sv ON se.chunk = sv.chunk WHERE len(l) >= 2)"""
+RETRIEVED_SQL = f"""rg AS (SELECT doc_id AS id, {GRAMS.format('text')} AS g, {GRAMS.format(f"array_to_string({WORDS.format('text')}[1:15], ' ')")} AS h FROM documents), rt AS (SELECT id, unnest({PAIRS.format('g')}) AS term FROM rg), rc AS (SELECT id, term, count(*) AS tf FROM rt GROUP BY ALL),
+rd AS (SELECT term, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS i FROM rc GROUP BY term HAVING count(*) >= 2), rw AS (SELECT id, term, tf * i AS w, i FROM rc JOIN rd USING (term)),
+ru AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w, i FROM rw), rq AS (SELECT id AS q, term, count(*) AS tf FROM (SELECT id, unnest({PAIRS.format('h')}) AS term FROM rg) GROUP BY ALL),
+rs AS (SELECT q, id, round(sum(tf * i * w), 9) AS s FROM rq JOIN ru USING (term) GROUP BY ALL), rb AS (SELECT q, arg_max(id, (s, -id)) AS found FROM rs GROUP BY q),
+retrieved AS (SELECT doc_id AS id, coalesce(found, (SELECT min(doc_id) FROM documents)) AS found FROM documents LEFT JOIN rb ON q = doc_id)"""
+
+
+@query(f"WITH {BOUNDARY_SQL} SELECT doc_id, id, round(similarity, 9) AS similarity FROM boundary")
 def boundary_integrity(spark, sf_dir):
-    return evaluation.boundary_integrity(chunked(spark, sf_dir))
+    return evaluation.boundary_integrity(chunked(spark, sf_dir)).withColumn("similarity", F.round("similarity", 9))
 
 
-@query()
+@query(f"WITH {COHERENCE_SQL} SELECT id, round(coherence, 9) AS coherence FROM coherence")
 def intra_chunk_coherence(spark, sf_dir):
-    return evaluation.intra_chunk_coherence(I.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return evaluation.intra_chunk_coherence(I.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")).withColumn("coherence", F.round("coherence", 9))
 
 
-@query()
+@query(f"WITH {RETRIEVED_SQL} SELECT * FROM retrieved")
 def self_retrieval(spark, sf_dir):
     return evaluation.self_retrieval(I.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+@query(f"""WITH {COHERENCE_SQL}, {RETRIEVED_SQL}, ed AS (SELECT source AS doc_id, doc_id AS id, {WORDS.format('text')}[-40:] AS a, lead({WORDS.format('text')}[1:40]) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents),
+{BOUNDARY_SQL[BOUNDARY_SQL.index('bt AS'):]}, n AS (SELECT len({WORDS.format('text')}) AS n FROM documents)
+SELECT count(*) AS num_chunks, round(avg(n), 6) AS avg_size, round(stddev_pop(n), 6) AS std_size, min(n) AS min_size, max(n) AS max_size, round((SELECT avg(coherence) FROM coherence), 6) AS coherence,
+round((SELECT avg(similarity) FROM boundary), 6) AS boundary, round((SELECT avg(CASE WHEN id = found THEN 1.0 ELSE 0.0 END) FROM retrieved), 6) AS retrieval FROM n""")
+def chunk_report(spark, sf_dir):
+    return evaluation.report(I.read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("id"), "text"))
+
+
 RESULT = "CAST(doc_id AS STRING) AS question, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(quality AS DOUBLE) END AS faithfulness, CASE WHEN doc_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(toxic AS DOUBLE) END AS answer_relevancy, CAST(quality + toxic AS DOUBLE) AS context_precision, CAST(doc_id % 3 AS DOUBLE) AS context_recall"
 COMPLETE = "faithfulness IS NOT NULL AND NOT isnan(answer_relevancy)"
 
@@ -554,6 +615,19 @@ def layout_pages(spark, sf_dir):
     return layout.read_pages(layout_lines(spark, sf_dir))
 
 
+@query(f"""WITH {LINE_ROWS}, z AS (SELECT row_id, line_no, line, CASE WHEN line_no % 9 = 0 THEN 14.0 ELSE 11.0 END AS size, line_no % 4 = 0 AS bold FROM e),
+o AS (SELECT *, (size > 11.5 AND length(line) < 150 AND (regexp_matches(line, '^\\d+(\\.\\d+)*\\s+') OR NOT regexp_matches(trim(line), '[.:;]$'))) OR (length(line) < 100 AND (regexp_matches(line, '^\\d+(\\.\\d+)*\\s+') OR (bold AND regexp_matches(line, '^[A-ZÀ-Ü\\s-]{{4,}}$')))) AS opens FROM z),
+i AS (SELECT *, sum(opens::INT) OVER (PARTITION BY row_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM o),
+g AS (SELECT row_id AS doc_id, island, max(line) FILTER (opens) AS title, string_agg(line, ' ' ORDER BY line_no) FILTER (NOT opens) AS text FROM i GROUP BY ALL HAVING count(*) FILTER (NOT opens) > 0),
+s AS (SELECT doc_id, island, title, {STRIPPED} AS text FROM g)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY island) - 1 AS INTEGER) AS section_no, coalesce(title, 'Introduction/Preamble') AS title,
+array_to_string(list_filter(list_transform({LINES}, lambda x: CASE WHEN starts_with(x, '###SEC###') THEN x ELSE trim(regexp_replace(x, '\\s+', ' ', 'g')) END), lambda x: x <> ''), chr(10)) AS text, 1 AS page_num FROM s""")
+def header_sections(spark, sf_dir):
+    n = F.col("line_no")
+    lines = line_rows(spark, sf_dir).select(F.col("row_id").alias("doc_id"), F.lit(1).alias("page_num"), "line_no", F.col("line").alias("text"), F.when(n % 9 == 0, 14.0).otherwise(11.0).alias("size"), (n % 4 == 0).alias("is_bold"), F.lit(11.0).alias("body_size"))
+    return layout.sections_by_headers(lines)
+
+
 @query()
 def layout_captions(spark, sf_dir):
     return layout.captions(layout_lines(spark, sf_dir))

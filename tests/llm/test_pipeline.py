@@ -44,3 +44,22 @@ def test_run_and_empty_table(spark, tmp_path):
     plain(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, SMALL).count() > 100
+
+
+def test_awkward_rows_at_every_stage(spark):
+    awkward = plain(spark)
+    done = {name: stage(spark, awkward, SMALL).collect() for name, stage in corpus_pipeline.STAGES}
+    ids = {name: Counter(r.doc_id for r in rows) for name, rows in done.items()}
+    assert ids["quality rules"] == {1: 1, 2: 2, 6: 1, 8: 1}
+    assert ids["near duplicates"] == dict.fromkeys([1, 3, 4, 5, 6, 7, 9, 10, None], 1)
+    assert sorted(map(repr, done["secret scan"])) == sorted(map(repr, awkward.collect()))
+    mixed, stands = ids["curriculum mix"], Counter(r.doc_id for r in awkward.collect())
+    assert mixed and all(n <= mixing.MAX_REPEAT * stands[i] for i, n in mixed.items())
+    pieces = done["packing"]
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == stands
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
+def test_no_rows_at_every_stage(spark):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain(spark, []), SMALL).collect() == []

@@ -45,3 +45,22 @@ def test_runs(spark):
     rows = spark.createDataFrame([([3, 1, 3, 3],), ([7],), ([],), (None,)], "x array<long>")
     got = [r[0] and [tuple(e) for e in r[0]] for r in rows.select(evaluation.runs(F.col("x"))).collect()]
     assert got == [[(1, 1), (3, 3)], [(7, 1)], None, None]
+
+
+def test_coherence_in_the_row(spark):
+    r = random.Random(2)
+    sentence = lambda: " ".join(r.choices([f"word{i}" for i in range(30)], k=r.randint(5, 12)))
+    texts = {k: ". ".join(sentence() for _ in range(r.randint(0, 9))) for k in range(60)} | {70: None, 71: "", 72: f"{'- ' * 20}. {'* ' * 20}. {sentence()}"}
+    want = {}
+    for k, t in texts.items():
+        parts = [re.findall(r"\w\w+", s) for s in (t or "").split(".") if len(s.strip()) > 30]
+        df, n, pairs = Counter(x for p in parts for x in set(p)), len(parts), 0.0
+        vectors = [{x: c * (math.log((1 + n) / (1 + df[x])) + 1) for x, c in Counter(p).items()} for p in parts]
+        norm = lambda v: math.sqrt(sum(w * w for w in v.values()))
+        for i, a in enumerate(vectors):
+            pairs += sum(sum(w * b.get(x, 0) for x, w in a.items()) / norm(a) / norm(b) for j, b in enumerate(vectors) if i != j and a and b)
+        if n > 1:
+            want[k] = round(pairs / n / (n - 1), 9)
+    out = evaluation.intra_chunk_coherence(spark.createDataFrame(list(texts.items()), "id long, text string"))
+    assert {r.id: round(r.coherence, 9) for r in out.collect()} == want and want[72] == 0
+    assert "Exchange" not in plan(out)

@@ -7,7 +7,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quarry.operators import evaluation
+from quarry.operators import evaluation, retrieval
+from quarry.plans import queries as Q
 
 
 def plan(df):
@@ -64,3 +65,27 @@ def test_coherence_in_the_row(spark):
     out = evaluation.intra_chunk_coherence(spark.createDataFrame(list(texts.items()), "id long, text string"))
     assert {r.id: round(r.coherence, 9) for r in out.collect()} == want and want[72] == 0
     assert "Exchange" not in plan(out)
+
+
+def documents(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_embedded_documents_gather_no_source(spark, tmp_path):
+    sf = documents(spark, tmp_path, [(k, "a" if k % 5 else "b", "en", None if k == 3 else f"text {k}") for k in range(50)])
+    out = Q.embedded_documents(spark, sf)
+    assert {tuple(r) for r in out.collect()} == {("a", 40, 40), ("b", 10, 10)}
+    assert "collect_list" not in plan(out) and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_keyword_counts_are_made_where_the_text_lies(spark, tmp_path):
+    chunks = spark.createDataFrame([(k, "common " * (k % 7) + f"own{k}") for k in range(60)] + [(60, None)], "id long, text string")
+    questions = spark.createDataFrame([(q, f"Common own{q} common") for q in range(8)], "query_id long, text string")
+    questions.write.parquet(f"{tmp_path}/q")
+    questions = spark.read.parquet(f"{tmp_path}/q")
+    out = retrieval.keyword_all(chunks, questions, 4)
+    hits = {q: sorted(((-(k % 7) - (k == q), k) for k in range(60) if k % 7 or k == q))[:4] for q in range(8)}
+    assert {(r.query_id, r["rank"], r.id, r.hits) for r in out.collect()} == {(q, i + 1, k, -n) for q, found in hits.items() for i, (n, k) in enumerate(found)}
+    # counts of every question and chunk are not dealt out; the best of each task are
+    assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, id#", plan(out)) and "WindowGroupLimit" in plan(out)

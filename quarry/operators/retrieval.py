@@ -39,8 +39,13 @@ def hybrid(chunks: DataFrame, query: list[float], terms: list[str], k: int = 10,
 
 
 def keyword_all(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Keyword search for every question at once: query_id, id, hits, rank. questions: query_id, text."""
+    """Keyword search for every question at once: query_id, id, hits, rank. questions: query_id, text.
+
+    Texts are dealt out by id before they are split, so that all counts of a chunk are made where
+    it lies and each task sends its k best of a question only. Where the terms of all questions are
+    too many for a broadcast, Spark deals out the counts by term instead.
+    """
     terms = questions.select("query_id", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
-    scored = postings(chunks).join(terms, "term").groupBy("query_id", "id").agg(F.sum("tf").alias("hits"))
+    scored = postings(chunks.repartition("id")).join(terms, "term").groupBy("query_id", "id").agg(F.sum("tf").alias("hits"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "id"))
     return scored.withColumn("rank", place).where(F.col("rank") <= k)

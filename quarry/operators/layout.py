@@ -52,8 +52,8 @@ def inside_table(x: Column, y: Column, tables: Column) -> Column:
 
 def page_lines(lines: DataFrame) -> DataFrame:
     """Lines of text off the side margins and out of tables, page numbers and loose data left out, with full, avg_size and colored."""
-    style = body_style(lines)
-    rows = lines.join(style, "doc_id")
+    # one row a document, which may have a large share of the lines
+    rows = lines.join(F.broadcast(body_style(lines)), "doc_id")
     rows = rows.where(~((F.col("x1") < F.col("page_w") * MARGIN) | (F.col("x0") > F.col("page_w") * (1 - MARGIN))))
     rows = rows.where(~inside_table((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("tables")))
     rows = rows.withColumn("full", T.strip(F.array_join(F.transform("spans", lambda s: s["text"]), " ")))
@@ -93,13 +93,14 @@ def assemble_notes(lines: DataFrame, by: tuple[str, ...] = ("doc_id", "page_num"
 
 def read_pages(lines: DataFrame) -> DataFrame:
     """doc_id, page_num, text, footnotes: marked headings and body lines in order, captions left out, notes apart."""
-    rows = page_lines(lines).join(slide_documents(lines), "doc_id")
+    slides = F.broadcast(slide_documents(lines))
+    rows = page_lines(lines).join(slides, "doc_id")
     note = (F.col("ly") >= footnote_zone(F.col("drawings"), F.col("page_h"))) & (F.col("avg_size") <= F.col("body_size") - 0.5)
     rows = rows.withColumn("is_note", note).withColumn("is_title", is_title(F.col("is_slides")))
     body = rows.where(~F.col("is_note") & ~F.col("full").rlike(CAPTION) & ~F.col("full").rlike(SOURCE))
     line = F.when(F.col("is_title"), F.concat(F.lit(T.SECTION_MARK + " "), "full")).otherwise(F.col("full"))
     texts = body.groupBy("doc_id", "page_num").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "line_no", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    every = lines.select("doc_id", "page_num").distinct().join(slide_documents(lines), "doc_id")
+    every = lines.select("doc_id", "page_num").distinct().join(slides, "doc_id")
     out = every.join(texts, ["doc_id", "page_num"], "left").join(assemble_notes(rows.where("is_note")), ["doc_id", "page_num"], "left")
     text = F.coalesce("text", F.lit(""))
     marked = F.when(F.col("is_slides") & ~F.contains(F.substring(text, 1, 100), F.lit(T.SECTION_MARK)), F.concat(F.lit(f"{T.SECTION_MARK} Slide "), "page_num", F.lit("\n"), text)).otherwise(text)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import places
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,10 +33,19 @@ DERIVED_SQL = f"{PAGES_SQL}, p AS (SELECT doc_id, page_num, row_id, {DERIVED} AS
 PLAIN_SQL = f"{PAGES_SQL}, p AS (SELECT * FROM pages_raw)"
 
 
+#: Rows of a range of ids, in which the pages of a source are counted by one task.
+RANGE_ROWS = 2048
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages: doc_id (the source), page_num, row_id, text."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), place.alias("page_num"), F.col("doc_id").alias("row_id"), "text")
+    """Documents as pages: doc_id (the source), page_num, row_id, text. A source may be a large share of the table, so its pages are counted by ranges of ids."""
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("row_id"), "text")
+    least, most, n = rows.agg(F.min("row_id"), F.max("row_id"), F.count("row_id")).first()
+    width = max(1, -(-(most - least + 1) * RANGE_ROWS // n)) if n else 1
+    # null ids come first, as they do in a window
+    part = F.coalesce(F.floor((F.col("row_id") - F.lit(least)) / width), F.lit(-1))
+    out = places.running(rows, "doc_id", part, "row_id", F.lit(1), "page_num")
+    return out.select("doc_id", F.col("page_num").cast("int").alias("page_num"), "row_id", "text")
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:

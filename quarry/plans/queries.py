@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import answers, evaluation, index, layout, models, pages, retrieval, sections
+from quarry.operators import answers, evaluation, index, layout, models, pages, places, retrieval, sections
 from quarry.plans import inputs as I
 from quarry.profiles import APPENDIX_LAYOUT, APPENDIX_MARKDOWN, FRONT_MATTER_LAYOUT, KEYWORDS_LAYOUT, LAYOUT, MARKDOWN, MULTIMODAL, REFERENCES_LAYOUT, REFERENCES_MARKDOWN, TOC_HEADERS
 from quarry.session import bounded
@@ -603,9 +603,9 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     texts = I.derived(spark, sf_dir).select("doc_id", "page_num", "row_id", T.lines(F.col("text")).alias("l"))
     sheets = F.ceil(F.greatest(F.size("l"), F.lit(0)) / PER_SHEET)
-    before = F.sum(sheets).over(Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)) - sheets
     # the sum stands before the lines are dealt out, as it would run over them otherwise
-    rows = texts.withColumn("before", before).select("doc_id", "before", "row_id", F.posexplode("l").alias("k", "line"))
+    summed = places.running(texts.withColumn("sheets", sheets), "doc_id", F.floor(F.col("page_num") / 1024), "page_num", F.col("sheets"), "upto")
+    rows = summed.select("doc_id", (F.col("upto") - F.col("sheets")).alias("before"), "row_id", F.posexplode("l").alias("k", "line"))
     rows = rows.select("doc_id", (F.col("before") + F.floor(F.col("k") / PER_SHEET) + 1).cast("int").alias("page_num"), "row_id", (F.col("k") < PER_SHEET).alias("opens"), (F.col("k") % PER_SHEET).alias("line_no"), "line")
     head, foot = F.col("line_no") == 1, F.col("line_no") >= 10
     span = F.struct(F.col("line").alias("text"), F.when(head, 14.0).when(foot, 8.0).otherwise(11.04).alias("size"), F.when(F.col("line_no") == 3, 255).otherwise(0).alias("color"))

@@ -7,7 +7,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quarry.operators import evaluation, retrieval
+from quarry.operators import evaluation, layout, places, retrieval
+from quarry.plans import inputs as I
 from quarry.plans import queries as Q
 
 
@@ -89,3 +90,24 @@ def test_keyword_counts_are_made_where_the_text_lies(spark, tmp_path):
     assert {(r.query_id, r["rank"], r.id, r.hits) for r in out.collect()} == {(q, i + 1, k, -n) for q, found in hits.items() for i, (n, k) in enumerate(found)}
     # counts of every question and chunk are not dealt out; the best of each task are
     assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, id#", plan(out)) and "WindowGroupLimit" in plan(out)
+
+
+def test_running_sums_by_parts(spark):
+    rows = spark.createDataFrame([(k, None if k % 3 == 0 else f"d{k % 3}", k % 5) for k in range(100)], "k int, doc string, v int")
+    got = places.running(rows, "doc", F.floor(F.col("k") / 7), "k", F.col("v"), "s")
+    assert {r.k: r.s for r in got.collect()} == {k: sum(i % 5 for i in range(k % 3, k + 1, 3)) for k in range(100)} and got.columns == ["k", "doc", "v", "s"]
+
+
+def test_pages_of_a_source_are_not_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "RANGE_ROWS", 10)
+    ids = [k * k for k in range(200)]
+    sf = documents(spark, tmp_path, [(k, "only", "en", f"t{k}") for k in ids] + [(5, None, "en", "x"), (None, "only", "en", "first")])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = I.pages(spark, sf).withColumn("at", F.spark_partition_id()).collect()
+        lines = layout.read_pages(Q.layout_lines(spark, sf))
+        assert lines.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.row_id: r.page_num for r in rows if r.doc_id} == {None: 1} | {k: i + 2 for i, k in enumerate(ids)}
+    assert [(r.row_id, r.page_num) for r in rows if not r.doc_id] == [(5, 1)] and len({r["at"] for r in rows if r.doc_id}) > 1

@@ -111,3 +111,15 @@ def test_pages_of_a_source_are_not_one_task(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {r.row_id: r.page_num for r in rows if r.doc_id} == {None: 1} | {k: i + 2 for i, k in enumerate(ids)}
     assert [(r.row_id, r.page_num) for r in rows if not r.doc_id] == [(5, 1)] and len({r["at"] for r in rows if r.doc_id}) > 1
+
+
+def test_table_chunks_bound_what_python_takes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    Q.table_chunks(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_report_makes_no_row_of_a_pair(spark):
+    chunks = spark.createDataFrame([("d", k, f"common words w{k}") for k in range(9)], "doc_id string, id long, text string")
+    out = evaluation.report(chunks)
+    assert out.first().retrieval == round(1 / 9, 6) and not re.search(r"Join.*term", plan(out))

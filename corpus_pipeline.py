@@ -58,7 +58,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A null or empty text is the end id alone; a null id stays null. Repeated rows are packed
     as often as they stand. Pieces of equal length are placed in the order of doc_id.
     """
-    return packing.digest(packing.pack(docs))
+    return packing.digest(docs)
 
 
 STAGES = [

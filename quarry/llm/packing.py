@@ -14,10 +14,11 @@ groups by their number among equal rows of a task's batch.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ GROUP = 4096
 #: Ids that a task holds before it passes them on.
 YIELD_IDS = 1_000_000
 TOKENIZER = "byte_bpe_50k.json"
+#: Placed pieces, and those with a checksum in place of their ids.
+PLACED = "doc_id long, start long, length long, ids binary, width int, doc_tokens long, sequence_id long, offset long"
+DIGESTED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -91,41 +95,58 @@ def first_fit_decreasing(lengths: list[int], length: int) -> list[tuple[int, int
 def pieces(docs: DataFrame, path: str, groups: int, length: int, end: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, has_id, start, length, ids (little-endian 16 or 32 bits), width, doc_tokens and group of every piece."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(rows: list[tuple[int, bool, int]], ids: list[np.ndarray], width: int) -> pa.RecordBatch:
+        doc, has, group = zip(*rows)
+        n = np.array([len(x) + 1 for x in ids], np.int64)
+        ends = np.cumsum(n)
+        flat = np.full(int(ends[-1]), end, f"<u{width}")
+        own = np.ones(len(flat), bool)
+        own[ends - 1] = False
+        flat[own] = np.concatenate(ids)
+        # the pieces follow each other in flat without a gap
+        count = -(-n // length)
+        of = np.repeat(np.arange(len(n)), count)
+        start = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * length
+        sizes = np.minimum(length, n[of] - start)
+        at = (np.concatenate(([0], np.cumsum(sizes))) * width).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+        columns = [np.array(doc, np.int64)[of], np.array(has, bool)[of], start, sizes, data, np.full(len(of), width, np.int32), n[of], np.array(group, np.int64)[of]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "has_id", "start", "length", "ids", "width", "doc_tokens", "group"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(path)
         width = 2 if max(tok.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
         seen: dict[int, int] = {}
-        columns = ["doc_id", "has_id", "start", "length", "ids", "width", "doc_tokens", "group"]
         for batch in batches:
-            rows, held = [], 0
-            for doc, has, key, ids in zip(batch["doc_id"].tolist(), batch["has_id"].tolist(), batch["key"].tolist(), tok.ids(batch["text"].tolist())):
-                ids = np.append(ids, np.uint32(end)).astype(f"<u{width}")
+            doc_ids, present, texts, keys = (c.to_pylist() for c in batch.columns)
+            rows, held, size = [], [], 0
+            for doc, has, key, ids in zip(doc_ids, present, keys, tok.ids(texts)):
                 seen[key] = n = seen.get(key, -1) + 1
-                group = ((key + n * 0x9E3779B97F4A7C15) >> 11) % groups
-                for start in range(0, len(ids), length):
-                    part = ids[start : start + length]
-                    rows.append((doc, has, start, len(part), part.tobytes(), width, len(ids), group))
-                held += len(ids)
-                if held > YIELD_IDS:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
-            yield pd.DataFrame(rows, columns=columns)
+                rows.append((doc, has, ((key + n * 0x9E3779B97F4A7C15) >> 11) % groups))
+                held.append(ids)
+                size += len(ids) + 1
+                if size > YIELD_IDS:
+                    yield cut(rows, held, width)
+                    rows, held, size = [], [], 0
+            if rows:
+                yield cut(rows, held, width)
         tok.forget()
 
     rows = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)).alias("doc_id"), F.col(f"`{id_col}`").isNotNull().alias("has_id"), F.col(f"`{text_col}`").alias("text"),
         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("key"),
     )
-    return rows.mapInPandas(run, "doc_id long, has_id boolean, start long, length long, ids binary, width int, doc_tokens long, group long")
+    return rows.mapInArrow(run, "doc_id long, has_id boolean, start long, length long, ids binary, width int, doc_tokens long, group long")
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", then: Callable[[pd.DataFrame], pd.DataFrame] | None = None, gives: str = PLACED) -> DataFrame:
     """Every piece with its place: doc_id, start, length, ids, width, doc_tokens, sequence_id, offset.
 
     ids are little-endian unsigned numbers of `width` bytes. Sequences hold at most `length`
     ids and are padded to it when they are read, except those that end at a power of two. A
     null or empty text is the end id alone. Repeated rows are packed as often as they stand;
-    a null id stays null. An empty table gives no rows.
+    a null id stays null. An empty table gives no rows. then: what is made of the placed pieces
+    of a group, rows with has_id too, in the task that placed them; gives: its schema without has_id.
     """
     if length < 1:
         raise ValueError("length must be positive")
@@ -140,29 +161,28 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: in
         placed = first_fit_decreasing(rows["length"][~full].tolist(), length)
         sequence[~full] = [int(full.sum()) + s for s, _ in placed]
         offset[~full] = [o for _, o in placed]
-        return rows.drop(columns="group").assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
+        placed_rows = rows.drop(columns="group").assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
+        return then(placed_rows) if then else placed_rows
 
     found = pieces(docs, path or tokenizer_path(), groups, length, end, id_col, text_col)
-    out = found.groupBy("group").applyInPandas(place, "doc_id long, has_id boolean, start long, length long, ids binary, width int, doc_tokens long, sequence_id long, offset long")
+    out = found.groupBy("group").applyInPandas(place, f"{gives}, has_id boolean")
     return out.withColumn("doc_id", F.when(F.col("has_id"), F.col("doc_id"))).drop("has_id")
 
 
-def digest(packed: DataFrame) -> DataFrame:
-    """The pieces with ids_crc32, the checksum of ids as 32-bit numbers, in place of ids."""
+def checksums(placed: pd.DataFrame) -> pd.DataFrame:
+    """Placed pieces with ids_crc32, the checksum of ids as 32-bit numbers, in place of ids."""
+    crc = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(placed["ids"], placed["width"])]
+    return placed.drop(columns=["ids", "width"]).assign(ids_crc32=crc)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(batch["ids"], batch["width"])]
-            yield batch[["start", "length", "doc_tokens", "sequence_id", "offset"]].assign(doc=batch["doc"], has=batch["has"], ids_crc32=crc)
 
-    rows = packed.select(F.coalesce("doc_id", F.lit(0)).alias("doc"), F.col("doc_id").isNotNull().alias("has"), "start", "length", "ids", "width", "doc_tokens", "sequence_id", "offset")
-    out = rows.mapInPandas(run, "doc long, has boolean, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
-    return out.select(F.when(F.col("has"), F.col("doc")).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+def digest(docs: DataFrame) -> DataFrame:
+    """The packed pieces of documents with their checksums. Ids leave no task twice."""
+    return pack(docs, then=checksums, gives=DIGESTED)
 
 
 def op7_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its checksum and place."""
-    return digest(pack(table(spark, sf_dir, "documents")))
+    return digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op7_tournament_packing": op7_tournament_packing}

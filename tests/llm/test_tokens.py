@@ -1,5 +1,6 @@
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -137,3 +138,26 @@ def test_files_of_awkward_rows(spark, tmp_path):
     assert sorted(repr(r.doc_id) for r in got) == sorted(repr(r.doc_id) for r in docs(spark).collect())
     tokenfiles.write_files(plain(spark, []), f"{tmp_path}/b")
     assert tokenfiles.read_files(spark, f"{tmp_path}/b").count() == 0
+
+
+def python_stages(df):
+    return len(re.findall(r"MapInPandas|MapInArrow|FlatMapGroupsInPandas|ArrowEvalPython", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]))
+
+
+def test_one_python_worker_for_a_task(spark):
+    """A Python stage after another in one task is a second worker, and takes all ids once more."""
+    assert python_stages(tokenfiles.op9_token_files(spark, SMALL)) == 1
+    assert python_stages(packing.op7_tournament_packing(spark, SMALL)) == 2  # with an exchange between them
+
+
+def test_pieces_of_batches_and_long_documents(spark, monkeypatch):
+    monkeypatch.setattr(packing, "YIELD_IDS", 50)
+    texts = [None, "", *(" ".join(["word"] * n) for n in (63, 64, 65, 300)), "one two"] * 2
+    truth = library(packing.tokenizer_path())
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    own = {}
+    for r in packing.pieces(rows, packing.tokenizer_path(), 3, 64, 0, "doc_id", "text").collect():
+        own.setdefault(r.doc_id, []).append((r.start, r.length, np.frombuffer(r.ids, f"<u{r.width}").tolist(), r.doc_tokens))
+    for k, text in enumerate(texts):
+        ids = [*truth(text or ""), 0]
+        assert sorted(own[k]) == [(a, len(ids[a : a + 64]), ids[a : a + 64], len(ids)) for a in range(0, len(ids), 64)]

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import places
+from quarry.operators.pages import part_of
 from quarry.profiles import LAYOUT, Profile
+from quarry.session import saved
 
 UNLABELED = "UNLABELED_SECTION"
 DOCUMENT_START = {"markdown": "Início do Documento", "multimodal": "Document Start"}
@@ -20,29 +23,48 @@ def split_sections(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
 
     layout: marked lines open a section and are not part of it; a heading without text
     vanishes. markdown: lines that start with # open one and stay in it.
+
+    Each page is cut by itself; its pieces are numbered by the headings before it, counted by
+    parts of the document, and the pieces of a section meet. No task holds a whole document.
     """
     layout = profile.name == "layout"
-    raw = pages.select("doc_id", "page_num", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
-    if layout:
-        raw = raw.where(T.strip(F.col("line")) != "")
-        opens = F.startswith("line", F.lit(T.SECTION_MARK))
-    else:
-        opens = F.startswith(T.strip(F.col("line")), F.lit("#"))
-    order = Window.partitionBy("doc_id").orderBy("page_num", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    raw = raw.withColumn("opens", opens).withColumn("island", F.sum(F.col("opens").cast("long")).over(order))
-    own = F.struct("page_num", "line_no", F.col("opens").alias("opens"), T.strip(F.col("line")).alias("clean") if layout else F.col("line").alias("clean"))
-    grouped = raw.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(own)).alias("all"))
+    opens = (lambda x: F.startswith(x, F.lit(T.SECTION_MARK))) if layout else (lambda x: F.startswith(T.strip(x), F.lit("#")))
+    lines = F.filter(T.lines(F.col("text")), lambda x: T.strip(x) != "") if layout else T.lines(F.col("text"))
+    headings = F.coalesce(F.greatest(F.size(F.filter(lines, opens)), F.lit(0)), F.lit(0))
+    rows = places.running(pages.select("doc_id", "page_num", "text"), "doc_id", part_of(F.coalesce("page_num", F.lit(0))), "page_num", headings, "_to")
+
+    def pieces(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == 1) | opens(F.get(x, i - 1)))
+        # the first piece of a page goes on with the section before it, unless it opens one
+        opened = F.when(opens(F.get(x, F.lit(0))), 1).otherwise(0)
+
+        def piece(i: Column, j: Column) -> Column:
+            head = F.get(x, i - 1)
+            own = F.slice(x, i, j - i)
+            if layout:
+                own = F.transform(F.when(opens(head), F.slice(x, i + 1, j - i - 1)).otherwise(own), T.strip)
+            return F.struct(opens(head).alias("opens"), (T.strip(head) if layout else head).alias("head"), F.array_join(own, " " if layout else "\n").alias("body"))
+
+        found = T.let(starts, lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(x) + 1)), piece))
+        return F.when(F.size(x) > 0, F.transform(found, lambda p, k: F.struct((k + opened).alias("n"), p.alias("p"))))
+
+    before = F.col("_to") - headings
+    # plain explode would add a condition on the array, which works it out twice
+    raw = rows.select("doc_id", "page_num", before.alias("before"), F.explode_outer(T.let(lines, pieces)).alias("e")).where("e is not null")
+    own = F.struct("page_num", F.col("e.n").alias("n"), F.col("e.p.opens").alias("opens"), F.col("e.p.head").alias("head"), F.col("e.p.body").alias("body"))
+    grouped = raw.groupBy("doc_id", (F.col("before") + F.col("e.n")).alias("island")).agg(F.array_sort(F.collect_list(own)).alias("all"))
     first = F.col("all")[0]
     if layout:
-        title = T.strip(F.replace(first["clean"], F.lit(T.SECTION_MARK), F.lit("")))
-        body = F.array_join(F.transform(F.filter("all", lambda x: ~x["opens"]), lambda x: x["clean"]), " ")
-        out = grouped.select("doc_id", "island", F.when(first["opens"] & (title != ""), title).otherwise(UNLABELED).alias("title"), body.alias("text"), first["page_num"].alias("page_num")).where("text != ''")
+        title = T.strip(F.replace(first["head"], F.lit(T.SECTION_MARK), F.lit("")))
+        title = F.when(first["opens"] & (title != ""), title).otherwise(UNLABELED)
+        body = F.array_join(F.transform(F.filter("all", lambda x: x["body"] != ""), lambda x: x["body"]), " ")
     else:
-        title = T.strip(F.replace(first["clean"], F.lit("#"), F.lit("")))
-        body = F.array_join(F.transform("all", lambda x: x["clean"]), "\n")
-        out = grouped.select("doc_id", "island", F.when(first["opens"], title).otherwise(DOCUMENT_START[profile.name]).alias("title"), body.alias("text"), first["page_num"].alias("page_num"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("island")) - 1
-    return out.select("doc_id", number.alias("section_no"), "title", "text", "page_num")
+        title = F.when(first["opens"], T.strip(F.replace(first["head"], F.lit("#"), F.lit("")))).otherwise(DOCUMENT_START[profile.name])
+        body = F.array_join(F.transform("all", lambda x: x["body"]), "\n")
+    out = saved(grouped.select("doc_id", "island", title.alias("title"), body.alias("text"), first["page_num"].alias("page_num")), "sections")
+    out = out.where("text != ''") if layout else out
+    out = places.running(out, "doc_id", part_of(F.col("island")), "island", F.lit(1), "_to")
+    return out.select("doc_id", (F.col("_to") - 1).cast("int").alias("section_no"), "title", "text", "page_num")
 
 
 def word_windows(text: Column, size: int = 300, overlap: int = 50) -> Column:
@@ -111,11 +133,13 @@ def table_windows(text: Column, size: int = 300, overlap: int = 50) -> Column:
 
 
 def chunk_sections(sections: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
-    """doc_id, chunk_id (from 0 in the document), section, text, start_word, end_word, type, page_num."""
+    """doc_id, chunk_id (from 0 in the document), section, text, start_word, end_word, type, page_num. Chunks are counted by parts of a document."""
     cut = word_windows if profile.name == "layout" else table_windows
-    rows = sections.withColumn("c", F.explode(cut(F.col("text"), profile.chunk_size, profile.overlap)))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no", "c.chunk_no")) - 1
-    return rows.select("doc_id", number.alias("chunk_id"), F.col("title").alias("section"), F.col("c.text").alias("text"), F.col("c.start_word").alias("start_word"), F.col("c.end_word").alias("end_word"), F.lit("body").alias("type"), "page_num")
+    rows = saved(sections.withColumn("c", cut(F.col("text"), profile.chunk_size, profile.overlap)).drop("text"), "chunks").where(F.size("c") > 0)
+    rows = places.running(rows, "doc_id", part_of(F.col("section_no")), "section_no", F.size("c"), "_to")
+    rows = rows.select("*", (F.col("_to") - F.size("c")).alias("_before"), F.posexplode("c").alias("_i", "_c"))
+    number = (F.col("_before") + F.col("_i")).cast("int")
+    return rows.select("doc_id", number.alias("chunk_id"), F.col("title").alias("section"), F.col("_c.text").alias("text"), F.col("_c.start_word").alias("start_word"), F.col("_c.end_word").alias("end_word"), F.lit("body").alias("type"), "page_num")
 
 
 def footnote_chunks(notes: DataFrame, profile: Profile = LAYOUT) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quarry.operators import pages as P
 from quarry.operators import sections as S
 from quarry.profiles import LAYOUT, Profile
+from quarry.session import saved
 
 _LOADED: dict = {}
 
@@ -176,28 +177,18 @@ def judge_overlap(rows: list[tuple[str, str, list[str], str]]) -> list[dict[str,
     return out
 
 
-def _apart(pages: DataFrame) -> DataFrame:
-    """The same rows with doc_id as a new expression: a union then doesn't take both sides as dealt alike, whose parts may differ in number once they are coalesced."""
-    return pages.withColumn("doc_id", F.concat("doc_id", F.lit("")))
-
-
 def cleaned(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
     """Pages of documents, classified, filtered by kind and normalised; further columns are kept."""
     from quarry.functions import text as T
 
-    kinds = P.classify(pages, profile).select("doc_id", "document_type")
-    typed = pages.join(kinds, "doc_id")
-    keep = pages.columns
-    scans = _apart(typed.where("document_type = 'scanned'").select(*keep))
-    others = typed.where("document_type != 'scanned'")
-    front = P.drop_front_matter(others.where("document_type != 'article'").select(*keep), profile).unionByName(_apart(others.where("document_type = 'article'").select(*keep)))
-    body = P.cut_references(P.cut_appendices(P.drop_contents(front, profile), profile), profile)
+    rows = P.filtered(pages.where("doc_id is not null"), P.classify(pages, profile), profile)
     if profile.name == "layout":
-        clean = P.strip_repeated_lines(body.unionByName(scans), profile)
+        clean = P.strip_repeated_lines(rows.select(*pages.columns), profile)
         clean = clean.withColumn("text", T.normalize_layout(F.col("text")))
     else:
-        clean = P.strip_repeated_lines(body, profile).unionByName(scans).withColumn("text", T.normalize_markdown(F.col("text")))
-    return clean
+        body = P.strip_repeated_lines(rows.where("document_type != 'scanned'").select(*pages.columns), profile)
+        clean = body.unionByName(rows.where("document_type = 'scanned'").select(*pages.columns)).withColumn("text", T.normalize_markdown(F.col("text")))
+    return saved(clean, "clean")
 
 
 def process(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
@@ -205,30 +196,39 @@ def process(pages: DataFrame, profile: Profile = LAYOUT) -> DataFrame:
     return S.chunk_sections(S.split_sections(cleaned(pages, profile), profile), profile)
 
 
-def _listed(rows: DataFrame, order: list, name: str) -> DataFrame:
-    """doc_id and the other columns of its rows as one array; that a document is one row is the format's."""
+#: Chunks of a row of process_documents; a document of more has several rows, as a row is bounded at 2 GB.
+ROW_CHUNKS = 50_000
+
+
+def _listed(rows: DataFrame, order: list, name: str, row: Column | None = None) -> DataFrame:
+    """doc_id, _row and the other columns of its rows as one array."""
     fields = [c for c in rows.columns if c != "doc_id"]
     sorted_ = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), F.struct(*fields).alias("v"))))
-    return rows.groupBy("doc_id").agg(F.transform(sorted_, lambda x: x["v"]).alias(name))
+    return rows.withColumn("_row", F.lit(0) if row is None else row.cast("int")).groupBy("doc_id", "_row").agg(F.transform(sorted_, lambda x: x["v"]).alias(name))
 
 
 def process_documents(pages: DataFrame, files: DataFrame, profile: Profile = LAYOUT, figures: DataFrame | None = None) -> DataFrame:
     """Pages (doc_id, page_num, text, footnotes) and files -> one row a document: doc_id, metadata, document_type, chunks, footnote_chunks, image_chunks.
 
     Notes are those of the pages that the filters keep. figures are rows as describe() gives them.
+    A document of more than ROW_CHUNKS chunks has a row for each so many, by ascending chunk_id,
+    with the same metadata; its notes and figures stand in the first.
     """
     from quarry.sources import store
 
     clean = cleaned(pages, profile)
-    body = _listed(S.chunk_sections(S.split_sections(clean, profile), profile), ["chunk_id"], "chunks")
+    chunks = S.chunk_sections(S.split_sections(clean, profile), profile)
+    body = _listed(chunks, ["chunk_id"], "chunks", F.floor(F.col("chunk_id") / ROW_CHUNKS))
     note = F.when(F.trim(F.coalesce("footnotes", F.lit(""))) != "", F.struct("page_num", F.trim("footnotes").alias("t")))
     notes = clean.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(note)), lambda x: x["t"]), "\n\n").alias("footnotes"))
     rows = S.footnote_chunks(notes, profile)
     rows = _listed(rows, [F.split("chunk_id", "_")[1].cast("int"), F.coalesce(F.get(F.split("chunk_id", "_"), F.lit(2)).cast("int"), F.lit(0))], "footnote_chunks")
     meta = store.metadata_of(pages, files)
     out = meta.select("doc_id", F.struct(*[c for c in meta.columns if c != "doc_id"]).alias("metadata")).join(P.classify(pages, profile).select("doc_id", "document_type"), "doc_id")
+    most = chunks.groupBy("doc_id").agg(F.max("chunk_id").alias("_most"))
+    out = out.join(most, "doc_id", "left").withColumn("_row", F.explode(F.sequence(F.lit(0), F.floor(F.coalesce("_most", F.lit(0)) / ROW_CHUNKS).cast("int")))).drop("_most")
     parts = [body, rows] + ([_listed(figures, ["page_num", "chunk_id"], "image_chunks")] if figures is not None else [])
     for part in parts:
-        name = part.columns[1]
-        out = out.join(part, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
-    return out
+        name = part.columns[2]
+        out = out.join(part, ["doc_id", "_row"], "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out.drop("_row")

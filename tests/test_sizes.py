@@ -7,9 +7,10 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quarry.operators import evaluation, layout, places, retrieval
+from quarry.operators import evaluation, layout, models, pages, places, retrieval, sections
 from quarry.plans import inputs as I
 from quarry.plans import queries as Q
+from quarry.profiles import LAYOUT, MARKDOWN
 
 
 def plan(df):
@@ -123,3 +124,63 @@ def test_report_makes_no_row_of_a_pair(spark):
     chunks = spark.createDataFrame([("d", k, f"common words w{k}") for k in range(9)], "doc_id string, id long, text string")
     out = evaluation.report(chunks)
     assert out.first().retrieval == round(1 / 9, 6) and not re.search(r"Join.*term", plan(out))
+
+
+def one_document(spark, n=60):
+    """A document of many pages, in which each rule finds something, and a small one."""
+    body = "\n".join(f"line {k} with some words to fill the page well enough " * 3 for k in range(6))
+    text = lambda k: f"Head\n{'###SEC### Part' if k % 4 == 0 else '# Part' if k % 4 == 2 else 'Plain'} {k}\n{body.replace('line', f'row{k}')}"
+    rows = [("d", k, text(k), f"note {k}" if k % 9 == 0 else "") for k in range(1, n)]
+    rows += [("d", n, "# Appendix\nend", ""), ("d", n + 1, text(n), ""), ("e", 1, "abc\n# References\nx " * 60, ""), (None, 1, "text", "")]
+    rows[n - 20] = ("d", n - 19, text(n - 19) + "\nReferences\n# References\nDoe", "")
+    rows[2] = ("d", 3, "Contents\n" + "\n".join(f"Part ..... {k}" for k in range(9)), "")
+    rows[4] = ("d", 5, "List of Figures\nx", "")
+    return spark.createDataFrame(rows, "doc_id string, page_num int, text string, footnotes string").repartition(4, "page_num")
+
+
+def spread(spark, make):
+    """The rows of a frame, and in how many partitions the larger document's lie."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = make().withColumn("_at", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return sorted(repr(tuple(r)[:-1]) for r in rows), len({r["_at"] for r in rows if r["doc_id"] == "d"})
+
+
+def test_no_task_holds_a_document(spark, monkeypatch):
+    given = one_document(spark)
+    for profile in (LAYOUT, MARKDOWN):
+        makes = [lambda f=f: f(given, profile) for f in (pages.drop_front_matter, pages.cut_appendices, pages.cut_references, pages.strip_repeated_lines, sections.split_sections, models.process)]
+        makes.append(lambda: sections.chunk_sections(given.selectExpr("doc_id", "page_num AS section_no", "'t' AS title", "text", "page_num"), profile))
+        for make in makes:
+            monkeypatch.setattr(pages, "PART", 10**6)
+            whole = spread(spark, make)[0]
+            monkeypatch.setattr(pages, "PART", 3)
+            rows, at = spread(spark, make)
+            assert rows == whole and rows and at > 1
+
+
+def test_filters_at_once_are_the_filters_in_turn(spark):
+    given = one_document(spark)
+    for profile in (LAYOUT, MARKDOWN):
+        for kind in ("report", "article"):
+            kinds = spark.createDataFrame([("d", kind), ("e", "scanned")], "doc_id string, document_type string")
+            d = given.where("doc_id = 'd'")
+            turn = pages.drop_contents(d if kind == "article" else pages.drop_front_matter(d, profile), profile)
+            turn = pages.cut_references(pages.cut_appendices(turn, profile), profile)
+            want = sorted(map(repr, turn.collect())) + sorted(map(repr, given.where("doc_id = 'e'").collect()))
+            got = pages.filtered(given.where("doc_id is not null"), kinds, profile).drop("document_type")
+            assert sorted(map(repr, got.collect())) == want and 2 < len(want) < given.count() - 1
+
+
+def test_large_documents_have_several_rows(spark, monkeypatch):
+    given = one_document(spark)
+    files = given.where("doc_id is not null").selectExpr("doc_id", "doc_id AS filename", "doc_id AS filepath", "'' AS title", "'' AS author").distinct()
+    one = {r.doc_id: r for r in models.process_documents(given, files).collect()}
+    monkeypatch.setattr(models, "ROW_CHUNKS", 4)
+    rows = [r for r in models.process_documents(given, files).collect() if r.doc_id == "d"]
+    rows.sort(key=lambda r: r.chunks[0].chunk_id)
+    assert len(rows) > 2 and max(len(r.chunks) for r in rows) == 4 and [c for r in rows for c in r.chunks] == one["d"].chunks
+    assert [n for r in rows for n in r.footnote_chunks] == one["d"].footnote_chunks == rows[0].footnote_chunks != []
+    assert all(r.metadata == one["d"].metadata for r in rows)

@@ -50,7 +50,8 @@ def metadata_of(pages: DataFrame, files: DataFrame) -> DataFrame:
     from quarry.functions import text as T
 
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num"))
-    head = pages.withColumn("r", place)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "text")))), lambda x: x["text"]), " ")
-    found = head.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_pages"), T.extract_doi(text).alias("doi"))
-    return files.join(found, "doc_id", "left")
+    # each task sends on five pages of a document at most
+    head = pages.withColumn("r", place).where("r <= 5")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), " ")
+    sizes = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_pages"))
+    return files.join(sizes, "doc_id", "left").join(head.groupBy("doc_id").agg(T.extract_doi(text).alias("doi")), "doc_id", "left")

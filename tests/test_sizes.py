@@ -184,3 +184,20 @@ def test_large_documents_have_several_rows(spark, monkeypatch):
     assert len(rows) > 2 and max(len(r.chunks) for r in rows) == 4 and [c for r in rows for c in r.chunks] == one["d"].chunks
     assert [n for r in rows for n in r.footnote_chunks] == one["d"].footnote_chunks == rows[0].footnote_chunks != []
     assert all(r.metadata == one["d"].metadata for r in rows)
+
+
+def test_queries_are_not_written_for_every_block(spark, monkeypatch):
+    kept, found, sizes = [], {}, {}
+    save = evaluation.saved
+    monkeypatch.setattr(evaluation, "saved", lambda *a: kept.append(save(*a)) or kept[-1])
+    monkeypatch.setattr(evaluation, "PACKET", 30)
+    chunks = spark.createDataFrame([(k, f"common words w{k // 2} " * 4) for k in range(90)], "id long, text string")
+    for chars in (10**6, 600):
+        monkeypatch.setattr(evaluation, "BLOCK_CHARS", chars)
+        out = evaluation.self_retrieval(chunks)
+        found[chars] = {r.id: r.found for r in out.collect()}
+        assert not re.search(r"Exchange hashpartitioning\((block|query|part)", plan(out))
+        rows = kept[-1].collect()
+        sizes[chars] = sum(len(r.data) for r in rows if r.query), sum(r.query for r in rows), len(rows) > 4
+    assert found[600] == found[10**6] == {k: k - k % 2 for k in range(90)}
+    assert sizes[600][:2] == sizes[10**6][:2] and sizes[600][1] == 3 and (sizes[10**6][2], sizes[600][2]) == (False, True)
